@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickplane.llm.byte_bpe import byte_bpe
 from tickplane.llm.near_duplicates import near_duplicates
+from tickplane.llm.pii import pii_digest
+from tickplane.llm.secrets import secret_digest
 from tickplane.tables import load
 
 
@@ -26,7 +28,17 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(load(spark, sf_dir, "documents"))
+
+
+def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_pii_scan": op10_pii_scan,
 }

@@ -120,15 +120,20 @@ def word_spans(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, np.searchsorted(start, texts.offsets)
 
 
-def words(texts: Texts, lower: bool = True) -> Words:
-    """Words with 64-bit hashes; ``lower`` folds A-Z first."""
-    start, end, bounds = word_spans(texts)
+def span_hashes(texts: Texts, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of byte ranges; ``lower`` folds A-Z first."""
     powers, inverses = _powers(len(texts.data) + 1)
     keys = _BYTE_KEYS[_LOWER] if lower else _BYTE_KEYS
     sums = np.empty(len(texts.data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(keys[texts.data] * powers[: len(texts.data)], out=sums[1:])
-    return Words(start, end, mix64((sums[end] - sums[start]) * inverses[start]), bounds)
+    return mix64((sums[end] - sums[start]) * inverses[start])
+
+
+def words(texts: Texts, lower: bool = True) -> Words:
+    """Words with 64-bit hashes; ``lower`` folds A-Z first."""
+    start, end, bounds = word_spans(texts)
+    return Words(start, end, span_hashes(texts, start, end, lower), bounds)
 
 
 def hash_word(word: str | bytes, lower: bool = True) -> int:
