@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tickplane.llm.byte_bpe import byte_bpe
+from tickplane.llm.language_id import language_id
 from tickplane.llm.near_duplicates import near_duplicates
 from tickplane.llm.pii import pii_digest
 from tickplane.llm.secrets import secret_digest
@@ -17,6 +18,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(load(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +43,7 @@ def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op4_language_id": op4_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii_scan": op10_pii_scan,
