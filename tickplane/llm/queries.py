@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tickplane.llm.byte_bpe import byte_bpe
+from tickplane.llm.chat_format import rotate
 from tickplane.llm.language_id import language_id
 from tickplane.llm.near_duplicates import near_duplicates
 from tickplane.llm.pii import pii_digest
+from tickplane.llm.quality_rules import quality_rules
 from tickplane.llm.secrets import secret_digest
+from tickplane.llm.toxicity import toxicity
 from tickplane.tables import load
 
 
@@ -18,10 +21,22 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(load(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(load(spark, sf_dir, "documents"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate(load(spark, sf_dir, "conversations"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,7 +58,10 @@ def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_toxicity": op2_toxicity,
     "op4_language_id": op4_language_id,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_chat_format": op6_chat_format,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii_scan": op10_pii_scan,

@@ -120,6 +120,30 @@ def word_spans(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, np.searchsorted(start, texts.offsets)
 
 
+def byte_sums(texts: Texts) -> np.ndarray:
+    """Running sums from which ``hashes_between`` takes hashes of byte ranges as they stand."""
+    powers, _ = _powers(len(texts.data) + 1)
+    sums = np.empty(len(texts.data) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE_KEYS[texts.data] * powers[: len(texts.data)], out=sums[1:])
+    return sums
+
+
+def hashes_between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix64((sums[end] - sums[start]) * _powers(len(sums))[1][start])
+
+
+def lowered(texts: Texts) -> Texts:
+    """The same rows in lower case, by Unicode's rules."""
+    rows = [texts.bytes_of(i).decode().lower().encode() for i in range(len(texts))]
+    return joined(rows, texts.first)
+
+
+def joined(rows: list[bytes], first: int = 0) -> Texts:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in rows], dtype=np.int64))).astype(np.int64)
+    return Texts(np.frombuffer(b"".join(rows), np.uint8), offsets, first)
+
+
 def span_hashes(texts: Texts, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hashes of byte ranges; ``lower`` folds A-Z first."""
     powers, inverses = _powers(len(texts.data) + 1)
