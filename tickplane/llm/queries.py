@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickplane.llm.byte_bpe import byte_bpe
 from tickplane.llm.chat_format import rotate
+from tickplane.llm.decontamination import decontaminate
 from tickplane.llm.language_id import language_id
+from tickplane.llm.licenses import license_scan
 from tickplane.llm.near_duplicates import near_duplicates
 from tickplane.llm.pii import pii_digest
 from tickplane.llm.quality_rules import quality_rules
@@ -25,6 +27,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(load(spark, sf_dir, "documents"))
 
@@ -48,6 +54,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(load(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(load(spark, sf_dir, "documents"))
 
@@ -59,10 +69,12 @@ def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_format": op6_chat_format,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_license_scan": op8_license_scan,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii_scan": op10_pii_scan,
 }
