@@ -61,7 +61,8 @@ def replace_spans(docs: DataFrame, make_scan: Callable[[], Scan], text_col: str)
     Of overlapping spans, the one that starts first is replaced up to the end of
     the last of them.  A null text stays null.
     """
-    place = docs.columns.index(text_col)
+    names = docs.columns
+    place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = make_scan()
@@ -81,7 +82,7 @@ def replace_spans(docs: DataFrame, make_scan: Callable[[], Scan], text_col: str)
                 for row, value in changed.items():
                     values[row] = value
                 texts = pa.array(values, texts.type)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:place], texts, *batch.columns[place + 1 :]], docs.columns)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:place], texts, *batch.columns[place + 1 :]], names)
 
     return docs.mapInArrow(run, docs.schema)
 
