@@ -1 +1,81 @@
-"""Codec operators over synthetic streams."""
+"""Codec operators over grid streams made from the events table.
+
+A user's events are a stream of 6 x 4 grids: an event writes the cell of its
+number, a glyph from its value and colors from its type.  These have no SQL form;
+tests hold them against round trips.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tickplane.operators import codec
+from tickplane.plans.registry import query
+from tickplane.sources import container
+from tickplane.tables import load
+
+COLUMNS, ROWS, DEPTH, CADENCE, INTERVAL = 6, 4, 16, 7, 24
+CELLS = COLUMNS * ROWS
+
+
+def grid_frames(spark, sf_dir) -> DataFrame:
+    """(path, place, state): the grid after each event; states are made by expressions.
+
+    A cell shows the last event that wrote it, a running last value over the
+    stream for each cell.
+    """
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value", "event_type")
+    color = F.pmod(F.xxhash64("event_type"), F.lit(DEPTH)).cast("int")
+    token = F.concat(F.lpad(F.hex(F.pmod(F.floor("value"), F.lit(64))), 2, "0"), F.lpad(F.hex(color), 2, "0"), F.lpad(F.hex(F.pmod(color + 1, F.lit(DEPTH))), 2, "0"))
+    placed = events.withColumn("place", F.row_number().over(w) - 1).withColumn("cell", F.pmod(F.col("event_id"), F.lit(CELLS))).withColumn("token", token)
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = [F.coalesce(F.last(F.when(F.col("cell") == c, F.col("token")), True).over(running), F.lit("000000")) for c in range(CELLS)]
+    return placed.select(F.col("user_id").cast("string").alias("path"), F.col("place").cast("long").alias("place"), F.unhex(F.concat(*cells)).alias("state"))
+
+
+@query(None)
+def command_sizes(spark, sf_dir):
+    sizes = codec.command_sizes(grid_frames(spark, sf_dir), COLUMNS, DEPTH, INTERVAL)
+    return sizes.groupBy("path").agg(F.count("*").alias("frames"), F.sum("plain_bytes").alias("plain_bytes"), F.sum("packed_bytes").alias("packed_bytes"), F.min(F.col("exact").cast("int")).alias("exact"))
+
+
+@query(None)
+def entropy_refinement(spark, sf_dir):
+    return codec.entropy_refined(grid_frames(spark, sf_dir), COLUMNS, DEPTH, INTERVAL)
+
+
+def container_files(spark, sf_dir) -> DataFrame:
+    return container.mux(codec.encode_timelines(grid_frames(spark, sf_dir), COLUMNS, DEPTH, CADENCE, INTERVAL), COLUMNS, ROWS, CADENCE, DEPTH)
+
+
+@query(None)
+def container_summary(spark, sf_dir):
+    """Files written and read again: chunks, bytes, frames and faults of each type and file."""
+    found = container.chunks(container_files(spark, sf_dir))
+    return found.groupBy("path", "type").agg(
+        F.count("*").alias("chunks"), F.sum("stored_length").alias("stored_bytes"), F.sum(F.octet_length("payload")).cast("long").alias("decoded_bytes"),
+        F.max(F.col("timestamp") + F.col("duration")).alias("until"), F.count("error").alias("errors"),
+    )
+
+
+@query(None)
+def container_faults(spark, sf_dir):
+    from tickplane.tables import stage
+
+    files = stage(container_files(spark, sf_dir), "files")
+    return container.timeline_faults(stage(container.chunks(files), "chunks"), container.headers(files))
+
+
+@query(None)
+def decoded_states(spark, sf_dir):
+    """Hashes of all decoded frames, in order of time."""
+    found = codec.decode_timelines(container.chunks(container_files(spark, sf_dir)).where("error is null"), CELLS, COLUMNS, DEPTH)
+    return found.select("path", "timestamp", "duration", "keyframe", "repeat", F.sha2("state", 256).alias("digest"), "error")
+
+
+@query(None)
+def huffman_sizes(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    return codec.byte_code(docs, "raw", ["doc_id"])
