@@ -8,9 +8,10 @@
 3. A candidate's signatures are compared a batch at a time; it is pruned as soon
    as the posterior probability that its similarity reaches the threshold is
    below ``miss``.  Survivors are linked only by their full sets.
-4. Components of the links are contracted.  Buckets that still hold nodes of
-   several components are searched between the components, large ones in blocks,
-   so a link that a star did not see is found as well.
+4. Components of the links are contracted, a few bands after the other.  Buckets
+   that still hold nodes of several components are searched between the
+   components, in blocks, so a link that no star saw is found as well; a block
+   returns links that connect its components, not all its pairs.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ from pyspark.sql import types as T
 
 from tickplane.llm.textkernel import mix64, shingle_sets, text_chunks, words
 from tickplane.operators.components import connected_components
+from tickplane.operators.prefilter import maybe_among
 from tickplane.tables import stage, unstage
 
 MISS = 1e-6
 MAX_HASHES = 128
 #: Hashes compared between two looks at the posterior.
 BATCH = 24
-#: Buckets up to this size are searched by a join, larger ones in blocks of it.
-BLOCK = 64
+#: Rows in a block of a bucket.
+BLOCK = 512
 
 _PERMUTATIONS = np.random.default_rng(7).integers(0, 1 << 63, MAX_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -140,16 +142,27 @@ def _with_signatures(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
+def _sets_of(asked: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """Staged shingle sets of the asked ids, made again from their texts.
+
+    A bit table keeps texts that nobody asks for out of the join's shuffle.
+    """
+    asked = stage(asked.distinct(), "asked")
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    some = maybe_among(some, "id", asked, "id", asked.count()).join(asked, "id")
+    sets = stage(_sets(some, "id", "text", k).distinct(), "sets")
+    unstage(asked)
+    return sets
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold.
+    """The pairs whose full shingle sets reach the threshold, staged.
 
-    Sets are made again for just the texts in question.  One text may be in very
-    many pairs: that is a skewed inner join, which Spark splits.
+    One text may be in very many pairs: that is a skewed inner join, which Spark
+    splits.
     """
     pairs = stage(pairs, "survivors")
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(asked, "id")
-    sets = stage(_sets(some, "id", "text", k).distinct(), "sets")
+    sets = _sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, id_col, text_col, k)
     side = lambda x: sets.select(F.col("id").alias(x), F.col("grams").alias(f"grams_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("grams_a", "grams_b")))
     links = both.where(100 * F.col("common") >= percent * (F.size("grams_a") + F.size("grams_b") - F.col("common"))).select("a", "b")
@@ -159,36 +172,93 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k:
     return links
 
 
-def _in_blocks(members: DataFrame, id_type: T.DataType, threshold: float, miss: float, hashes: int) -> DataFrame:
-    """Pairs between components inside buckets of more than BLOCK rows.
+class _Between:
+    """Pairs of different components inside one group of signatures."""
 
-    The bucket is cut into blocks by a hash of the node; each pair of blocks is
-    one group of at most about two blocks of rows.
-    """
-    looks = [(n, least_matches(n, threshold, miss)) for n in [*range(BATCH, hashes, BATCH), hashes]]
-    width = 8 * BLOCK
-    cut = members.withColumn("blocks", F.ceil(F.col("size") / width).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sig"
-    )
+    def __init__(self, threshold: float, miss: float, hashes: int):
+        self.looks = [(n, least_matches(n, threshold, miss)) for n in [*range(BATCH, hashes, BATCH), hashes]]
+        self.hashes = hashes
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, hashes)
-        ids, comp, own = group["id"].to_numpy(), group["component"].to_numpy(), group["own"].to_numpy()
+    def partners(self, group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row the later rows of other components that survive all looks."""
+        sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, self.hashes)
+        comp, own = group["component"].to_numpy(), group["own"].to_numpy()
         same = group["i"].iloc[0] == group["j"].iloc[0]
-        found = []
-        for row in range(len(ids)):
-            rest = np.flatnonzero((comp != comp[row]) & (ids > ids[row]) & (True if same else own != own[row]))
+        for row in range(len(sig) - 1):
+            rest = row + 1 + np.flatnonzero((comp[row + 1 :] != comp[row]) & (same | (own[row + 1 :] != own[row])))
             matches, seen = np.zeros(len(rest), np.int64), 0
-            for upto, least in looks:
+            for upto, least in self.looks:
+                if not len(rest):
+                    break
                 matches = matches + (sig[rest, seen:upto] == sig[row, seen:upto]).sum(1)
                 keep = matches >= least
                 rest, matches, seen = rest[keep], matches[keep], upto
-            found.append(pd.DataFrame({"a": ids[row], "b": ids[rest]}))
-        return pd.concat(found) if found else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+            if len(rest):
+                yield row, rest
+
 
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Cut each bucket into blocks by a hash of the node, and deal every two blocks to a group.
+
+    A group holds about two blocks of rows at most, whatever the bucket's size.
+    """
+    cut = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+
+def _links_between(members: DataFrame, nodes: DataFrame, find: _Between, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """Every link between components inside the buckets, up to what connects them.
+
+    First the nodes with a surviving partner are found by signatures alone; only
+    they get their sets, and each group then returns verified links that connect
+    its components, at most one for each row, never a group's pairs.
+    """
+    id_type = nodes.schema["id"].dataType
+    signed = members.join(nodes.select("id", "sig"), "id")
+    columns = ["band", "key", "i", "j", "own", "size", "id", "component", "sig"]
+
+    def suspects(group: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(group), bool)
+        for row, rest in find.partners(group):
+            hit[row] = True
+            hit[rest] = True
+        return group.loc[hit, ["band", "key", "i", "j", "own", "size", "id", "component"]]
+
+    dealt = _in_blocks(signed).select(*columns)
+    schema = T.StructType([dealt.schema[c] for c in columns if c != "sig"])
+    found = stage(dealt.groupBy("band", "key", "i", "j").applyInPandas(suspects, schema), "suspects")
+    sets = _sets_of(found.select("id"), docs, id_col, text_col, k)
+
+    def connect(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.reset_index(drop=True)
+        ids, parent = group["id"].to_numpy(), {c: c for c in group["component"]}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        comp, sets_, links = group["component"].to_list(), group["grams"].to_list(), []
+        for row, rest in find.partners(group):
+            for other in rest.tolist():
+                x, y = root(comp[row]), root(comp[other])
+                if x == y:
+                    continue
+                common = len(np.intersect1d(sets_[row], sets_[other], assume_unique=True))
+                if 100 * common >= percent * (len(sets_[row]) + len(sets_[other]) - common):
+                    parent[x] = y
+                    links.append((ids[row], ids[other]))
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    whole = found.join(nodes.select("id", "sig"), "id").join(sets, "id")
     schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
-    return dealt.groupBy("band", "key", "i", "j").applyInPandas(run, schema).distinct()
+    return stage(whole.groupBy("band", "key", "i", "j").applyInPandas(connect, schema).distinct(), "links")
+
+
+def _steps(bands: int) -> list[tuple[int, int]]:
+    """Ranges of bands that are looked at one after the other: an eighth, a quarter, the rest."""
+    first, second = max(1, bands // 8), max(2, 3 * bands // 8)
+    return [(0, first - 1), (first, second - 1), (second, bands - 1)]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 5, miss: float = MISS) -> DataFrame:
@@ -218,27 +288,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = stage(in_bands.groupBy("band", "key").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1"), "buckets")
     members = stage(in_bands.join(buckets, ["band", "key"]).where("id <> first"), "members")
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        sized = _with_signatures(pairs, nodes).where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        return _verified(prune(sized, threshold, miss, hashes), docs, id_col, text_col, k, percent)
+    links = labels = None
 
-    links = links_of(members.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    labels = stage(connected_components(links), "labels")
+    def labelled(rows: DataFrame, column: str, to: str) -> DataFrame:
+        if labels is None:
+            return rows.withColumn(to, F.col(column))
+        return rows.join(labels.select(F.col("node").alias(column), F.col("component").alias(to)), column, "left").withColumn(to, F.coalesce(to, column))
 
-    # The least node of a bucket has met all others; what is left is between the others.
-    member = members.where("size > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    member = stage(member, "member")
-    mixed = member.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-    open_ = member.join(mixed, ["band", "key"])
-    small, large = open_.where(F.col("size") <= BLOCK), open_.where(F.col("size") > BLOCK)
-    x, y = small.alias("x"), small.alias("y")
-    between = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")))
-    pairs = between.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    blocks = _in_blocks(large.join(nodes.select("id", "sig"), "id"), id_type, threshold, miss, hashes)
-    more = links_of(stage(pairs.union(blocks).distinct(), "pairs"))
-    if not more.isEmpty():
-        labels = stage(connected_components(links.union(more)), "labels")
+    def contract(more: DataFrame) -> None:
+        nonlocal links, labels
+        if not more.isEmpty():
+            links = more if links is None else links.unionByName(more)
+            labels = stage(connected_components(links), "labels")
 
+    # Stars, a few bands at a time, so that a group of near copies is contracted
+    # before its other bands are looked at.
+    for low, high in _steps(bands):
+        star = members.where(F.col("band").between(low, high)).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+        star = labelled(labelled(star, "a", "x"), "b", "y").where("x <> y")
+        sized = _with_signatures(star, nodes).where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        contract(_verified(prune(sized, threshold, miss, hashes), docs, id_col, text_col, k, percent))
+
+    # The least node of a bucket has met all others; what is left is between the others.
+    find = _Between(threshold, miss, hashes)
+    for low, high in _steps(bands):
+        member = stage(labelled(members.where(F.col("band").between(low, high) & (F.col("size") > 2)), "id", "component"), "member")
+        mixed = member.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
+        contract(_links_between(member.join(mixed, ["band", "key"]), nodes, find, docs, id_col, text_col, k, percent))
+        unstage(member)
+
+    if labels is None:
+        labels = nodes.where("false").select(F.col("id").alias("node"), F.col("id").alias("component"))
     per_print = nodes.join(labels, nodes["id"] == labels["node"], "left").select("print", F.coalesce("component", "id").alias("component"))
     return sketch.join(per_print, "print", "left").select(
         F.col("id").alias(id_col),
