@@ -152,7 +152,7 @@ def fit(texts: dict[str, list[str]]) -> Model:
         table = np.zeros_like(counts[n - 1])
         np.add.at(table, np.searchsorted(grams[n - 1], suffix_of[n]), counts[n] > 0)
         counts[n - 1] = table
-    seen = (counts[0] > 0).sum(0) + 1.0
+    symbols = len(grams[0]) + 1.0  # those of all languages, and one for the rest
     lower, logs, contexts, backoffs = None, [], [], []
     floor = None
     for n in range(1, ORDER + 1):
@@ -163,7 +163,7 @@ def fit(texts: dict[str, list[str]]) -> Model:
         # A context that a language has not seen hands all its mass to the shorter order.
         weight = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
         if n == 1:
-            floor = weight[0] / seen
+            floor = weight[0] / symbols
             below = np.broadcast_to(floor, counts[0].shape)
         else:
             below = lower[np.searchsorted(grams[n - 2], suffix_of[n - 1])]

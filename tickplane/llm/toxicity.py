@@ -26,6 +26,8 @@ from tickplane.llm.textkernel import Texts, byte_sums, hashes_between, joined, l
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1500, 3000, 8000
 #: A score from here on is predicted as toxic.
 THRESHOLD = 0.7
+#: The most that the label model trusts a given label.
+LABEL_TRUST = 0.995
 #: Mined word beginnings: their lengths in bytes (0: the whole word) and how many at most.
 LENGTHS = (4, 5, 6, 7, 8, 9, 0)
 MINED = 96
@@ -203,6 +205,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 6) -> np.nd
             for v in (0, 1):
                 group = w[:, None] * (up == v)
                 p = (np.einsum("ij,ij->j", group, fires) + 0.2) / (group.sum(0) + 2.0)
+                p[0] = np.clip(p[0], 1 - LABEL_TRUST, LABEL_TRUST)
                 logs[:, y] += ((up == v) * (fires * np.log(p) + (1 - fires) * np.log(1 - p))).sum(1)
         new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
         if np.abs(new - weight).max() < 1e-4:
@@ -243,7 +246,8 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     voters = make_voters(mine(texts, labels))
     votes, words = count_votes(joined([t.encode() for t in texts]), voters)
     posterior = label_model(votes, labels)
-    w, b = train_linear(features(votes, words), posterior)
+    x = features(votes, words)
+    w, b = train_linear(x, posterior)
     return Model(voters, w, b)
 
 
