@@ -9,6 +9,7 @@ choice of commands walks from cell to cell.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from dataclasses import dataclass
 
@@ -193,7 +194,13 @@ class Packed:
         out = bytes([PACKED.index(self.name)])
         if self.name in ("skip", "literal", "repeat") or self.name.startswith("repeat "):
             out += put_varuint(self.count)
-        return out + pack_low_first(self.values, _widths(self.name, self.count, bits)) if len(self.values) else out
+        if self.name == "literal":
+            return out + pack_low_first(self.values, _widths(self.name, self.count, bits))
+        packed, at = 0, 0  # three fields at most
+        for value, glyph in zip(self.values, _glyph_fields(self.name, 1), strict=True):
+            packed |= int(value) << at
+            at += 6 if glyph else bits
+        return out + packed.to_bytes(-(-at // 8), "little")
 
 
 def _widths(name: str, count: int, bits: int) -> np.ndarray:
@@ -202,6 +209,7 @@ def _widths(name: str, count: int, bits: int) -> np.ndarray:
     return np.array([6 if p == 0 else bits for p in _PARTS.get(name.removeprefix("repeat "), ())], np.int64)
 
 
+@functools.lru_cache(maxsize=4096)
 def _glyph_fields(name: str, count: int) -> np.ndarray:
     if name in ("literal", "repeat"):
         return np.tile([True, False, False], count if name == "literal" else 1)
@@ -242,13 +250,14 @@ def packed_plan(state: np.ndarray, before: np.ndarray | None, depth: int, litera
     if byte_costs is not None:
         fields = state.astype(np.int64)
         cell_bits = np.concatenate([(fields[:, i : i + 1] >> np.arange(w)) & 1 for i, w in enumerate((6, bits, bits))], 1).astype(np.uint8)
+    prices = None if byte_costs is None else byte_costs.tolist()
     best = np.zeros(n + 1)
     best[n] = 1.0 if byte_costs is None else byte_costs[PACKED.index("end")]
     chosen: list[Packed | int] = [0] * n
 
     def price(command: Packed) -> tuple[float, int]:
         raw = command.encode(bits)
-        return (float(len(raw)) if byte_costs is None else float(byte_costs[list(raw)].sum())), len(raw)
+        return (float(len(raw)) if prices is None else sum(prices[b] for b in raw)), len(raw)
 
     for at in range(n - 1, -1, -1):
         most = min(literal_run, n - at)
