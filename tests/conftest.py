@@ -2,6 +2,11 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
+
+# Machines under load are slow; no example is judged by its time.
+settings.register_profile("calm", deadline=None)
+settings.load_profile("calm")
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
