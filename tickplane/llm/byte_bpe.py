@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from tickplane.llm.textkernel import text_chunks
 
-#: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Pre-tokens whose ids a task remembers.
+REMEMBERED = 200_000
 
 
 @functools.cache
@@ -173,5 +173,6 @@ def byte_bpe(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "te
                     else:
                         out.append(hashlib.sha256(ids if c == "ids_sha256" else decoded).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(made[c], types[c]) for c in outputs)], schema.names)
+        codec.clear()  # workers live on; what they remember does not
 
     return source.mapInArrow(run, schema)

@@ -36,6 +36,9 @@ REJECT_DEVIATIONS, REJECT_SLACK = 8.0, 1.0
 #: Rejection needs this many letters; fewer say too little.
 REJECT_LETTERS = 20
 
+#: Bytes of text scored at once: each takes about 150 bytes of working arrays.
+CHUNK = 1 << 18
+
 _KEYS = np.random.default_rng(11).integers(0, 1 << 63, ORDER + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLANK = 0x20
 
@@ -238,12 +241,15 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     """
     made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     schema = T.StructType([*(docs.schema[c] for c in keep), *made])
+    # A text that is kept anyway is not sent twice.
+    place = keep.index(text_col) if text_col in keep else len(keep)
+    source = docs.select(*keep) if text_col in keep else docs.select(*keep, docs[text_col].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang: list[str] = [UNKNOWN] * batch.num_rows
             score, rejected = np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
-            for part in text_chunks(batch.column(len(keep))) if model else ():
+            for part in text_chunks(batch.column(place), CHUNK) if model else ():
                 entropy, letters = cross_entropies([part.bytes_of(i).decode() for i in range(len(part))], model)
                 best = entropy.argmin(1)
                 low = entropy[np.arange(len(best)), best]
@@ -256,7 +262,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
             columns = [*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.select(*keep, docs[text_col].alias("__text")).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -255,12 +255,6 @@ def _links_between(members: DataFrame, nodes: DataFrame, find: _Between, docs: D
     return stage(whole.groupBy("band", "key", "i", "j").applyInPandas(connect, schema).distinct(), "links")
 
 
-def _steps(bands: int) -> list[tuple[int, int]]:
-    """Ranges of bands that are looked at one after the other: an eighth, a quarter, the rest."""
-    first, second = max(1, bands // 8), max(2, 3 * bands // 8)
-    return [(0, first - 1), (first, second - 1), (second, bands - 1)]
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 5, miss: float = MISS) -> DataFrame:
     """Group documents whose shingle sets are at least ``percent`` % similar.
 
@@ -301,21 +295,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = more if links is None else links.unionByName(more)
             labels = stage(connected_components(links), "labels")
 
-    # Stars, a few bands at a time, so that a group of near copies is contracted
+    # Stars, first of a few bands, so that a group of near copies is contracted
     # before its other bands are looked at.
-    for low, high in _steps(bands):
+    some = max(1, bands // 8)
+    for low, high in ((0, some - 1), (some, bands - 1)):
         star = members.where(F.col("band").between(low, high)).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
         star = labelled(labelled(star, "a", "x"), "b", "y").where("x <> y")
         sized = _with_signatures(star, nodes).where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         contract(_verified(prune(sized, threshold, miss, hashes), docs, id_col, text_col, k, percent))
 
     # The least node of a bucket has met all others; what is left is between the others.
-    find = _Between(threshold, miss, hashes)
-    for low, high in _steps(bands):
-        member = stage(labelled(members.where(F.col("band").between(low, high) & (F.col("size") > 2)), "id", "component"), "member")
-        mixed = member.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-        contract(_links_between(member.join(mixed, ["band", "key"]), nodes, find, docs, id_col, text_col, k, percent))
-        unstage(member)
+    member = stage(labelled(members.where("size > 2"), "id", "component"), "member")
+    mixed = member.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
+    contract(_links_between(member.join(mixed, ["band", "key"]), nodes, _Between(threshold, miss, hashes), docs, id_col, text_col, k, percent))
 
     if labels is None:
         labels = nodes.where("false").select(F.col("id").alias("node"), F.col("id").alias("component"))
