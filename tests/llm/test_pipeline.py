@@ -70,3 +70,14 @@ def test_run_applies_all_stages(spark, docs, folder):
         stepped = stage(spark, stepped, folder)
     assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in stepped.collect())
     assert np.mean([r["n_tokens"] for r in got]) > 10
+
+
+def test_stages_take_odd_tables(spark, docs, folder):
+    odd = docs.limit(20).withColumns({"score": F.lit("x"), "rejected": F.lit(True), "lang_pred": F.lit(1), "component": F.lit(None).cast("string"), "id": F.lit(2)})
+    odd = odd.unionByName(odd).unionByName(odd.limit(2).select(*(F.lit(None).cast(t).alias(c) for c, t in odd.dtypes)))
+    for _, stage in cp.STAGES[:-1]:
+        got = stage(spark, odd, folder)
+        assert got.columns == odd.columns and got.count() > 0
+    assert cp.tokenise(spark, odd, folder).count() == odd.count()
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.where("doc_id < 0"), folder).count() == 0
