@@ -32,8 +32,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     columns = docs.columns
     model = language.learn(docs.where(~language.held_out("doc_id")), "doc_id", "text", "lang")
-    found = language.identify(docs, model, "text", tuple(columns))
-    return found.where(~F.col("rejected")).withColumn("lang", F.col("lang_pred")).select(*columns)
+    found = language.identify(docs, model, "text", tuple(columns), ("__lang", "__score", "__rejected"))
+    return found.where(~F.col("__rejected")).withColumn("lang", F.col("__lang")).select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

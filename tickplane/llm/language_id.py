@@ -229,8 +229,8 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Mod
     return calibrate(fit({lang: own[len(own) // 4 :] for lang, own in texts.items()}), held)
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, ``lang_pred``, ``score`` and ``rejected`` of each row.
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """The columns ``keep``, ``lang_pred``, ``score`` and ``rejected`` (by ``names``) of each row.
 
     ``lang_pred`` is the language of the lowest cross-entropy per character
     (the first by name among equals), or ``und`` where the text is null or has no
@@ -239,7 +239,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     ``rejected`` says that the text is ``und`` or that even the best model finds
     it too unlike its language.  Whole texts are scored.
     """
-    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    made = [T.StructField(name, kind) for name, kind in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
     schema = T.StructType([*(docs.schema[c] for c in keep), *made])
     # A text that is kept anyway is not sent twice.
     place = keep.index(text_col) if text_col in keep else len(keep)
