@@ -222,10 +222,10 @@ def _links_between(members: DataFrame, nodes: DataFrame, find: _Between, docs: D
         for row, rest in find.partners(group):
             hit[row] = True
             hit[rest] = True
-        return group.loc[hit, ["band", "key", "i", "j", "own", "size", "id", "component"]]
+        return group.loc[hit, columns]
 
     dealt = _in_blocks(signed).select(*columns)
-    schema = T.StructType([dealt.schema[c] for c in columns if c != "sig"])
+    schema = T.StructType([dealt.schema[c] for c in columns])
     found = stage(dealt.groupBy("band", "key", "i", "j").applyInPandas(suspects, schema), "suspects")
     sets = _sets_of(found.select("id"), docs, id_col, text_col, k)
 
@@ -250,7 +250,7 @@ def _links_between(members: DataFrame, nodes: DataFrame, find: _Between, docs: D
                     links.append((ids[row], ids[other]))
         return pd.DataFrame(links, columns=["a", "b"])
 
-    whole = found.join(nodes.select("id", "sig"), "id").join(sets, "id")
+    whole = found.join(sets, "id")
     schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
     return stage(whole.groupBy("band", "key", "i", "j").applyInPandas(connect, schema).distinct(), "links")
 
