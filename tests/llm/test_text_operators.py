@@ -242,6 +242,35 @@ def test_language_of_odd_rows(spark):
     assert language_id.language_id(nothing.where("doc_id = 2")).count() == 0
 
 
+FOREIGN = [
+    "La biblioteca della città apre ogni mattina alle nove e molti studenti arrivano presto per trovare un posto vicino alle finestre",
+    "De bibliotheek van de stad gaat elke ochtend om negen uur open en veel studenten komen vroeg om een plaats bij het raam te vinden",
+    "Biblioteka miejska otwiera się każdego ranka o dziewiątej i wielu studentów przychodzi wcześnie, aby znaleźć miejsce przy oknie",
+    "Городская библиотека открывается каждое утро в девять часов, и многие студенты приходят рано, чтобы найти место у окна",
+    "qzv wkjx ptrq hhgb xxvn lqpz rrtw mnbv zxqj kkwp " * 3,
+]
+
+
+@pytest.mark.parametrize("few", [1, 2, 3, 5])
+def test_sparse_language_rejects_what_fits_none(spark, few):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200")
+    spanish = docs.where("lang = 'es'").orderBy("doc_id")
+    labelled = docs.where("lang <> 'es'").unionByName(spanish.limit(few))
+    model = language_id.learn(labelled, "doc_id", "text", "lang")
+    assert np.isfinite(model.reject_at).all()
+    df = spark.createDataFrame(list(enumerate(FOREIGN)), "doc_id long, text string")
+    assert all(r["rejected"] for r in language_id.identify(df, model).collect())
+    own = language_id.identify(spanish, model).collect()
+    assert np.mean([r["lang_pred"] == "es" and not r["rejected"] for r in own]) >= 0.95
+
+
+def test_bound_without_usable_calibration_texts():
+    model = language_id.fit({"aa": ["the cat sat on the mat"], "bb": ["der hund lief"]})
+    for texts in ({"aa": [], "bb": []}, {"aa": ["a cat"], "bb": []}, {"aa": ["zzz qqq xxx www vvv uuu kkk jjj"], "bb": []}):
+        found = language_id.calibrate(model, texts).reject_at
+        assert (found <= np.log(len(model.grams[0]) + 1)).all()
+
+
 # Toxicity ---------------------------------------------------------------------
 
 

@@ -35,6 +35,12 @@ UNKNOWN = "und"
 REJECT_DEVIATIONS, REJECT_SLACK = 8.0, 1.0
 #: Rejection needs this many letters; fewer say too little.
 REJECT_LETTERS = 20
+#: A language with fewer calibration texts than this takes a pooled bound.
+LEAST_HELD = 8
+#: How far the bound of such a language may go from the mean of pooled texts to
+#: what its model gives texts of others.  A model of a few texts finds its own
+#: language less likely than others find theirs, so it is more than half.
+SPARSE_SHARE = 2 / 3
 
 #: Bytes of text scored at once: each takes about 150 bytes of working arrays.
 CHUNK = 1 << 18
@@ -194,12 +200,31 @@ def cross_entropies(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndar
 
 
 def calibrate(model: Model, texts: dict[str, list[str]]) -> Model:
-    """Set each language's rejection bound from texts that are not fitted."""
+    """Set each language's rejection bound from texts that are not fitted.
+
+    A language with fewer than LEAST_HELD usable texts takes the bound of all
+    texts of the languages that have enough (of all there are, if none has), or
+    what lies SPARSE_SHARE of the way from their mean to the mean that its own
+    model gives these texts, if that is more.  The bound is never over the entropy of evenly drawn symbols,
+    as such a model is nearly even and would catch what fits no language.
+    """
+    none = np.zeros((0, len(model.languages)))
+    held = []
+    for lang in model.languages:
+        entropy, letters = cross_entropies(texts[lang], model) if texts.get(lang) else (none, np.zeros(0))
+        held.append(entropy[letters >= REJECT_LETTERS])
+    even = np.log(len(model.grams[0]) + 1.0)
+    bound_of = lambda own: own.mean() + max(REJECT_DEVIATIONS * own.std(), REJECT_SLACK)
+    enough = [l for l in range(len(held)) if len(held[l]) >= LEAST_HELD] or [l for l in range(len(held)) if len(held[l])]
+    pool = np.concatenate([held[l][:, l] for l in enough] or [np.zeros(0)])
     bound = []
-    for l, lang in enumerate(model.languages):
-        entropy, letters = cross_entropies(texts[lang], model) if texts[lang] else (np.zeros((0, len(model.languages))), np.zeros(0))
-        own = entropy[letters >= REJECT_LETTERS, l] if len(entropy) else entropy[:, l]
-        bound.append(own.mean() + max(REJECT_DEVIATIONS * own.std(), REJECT_SLACK) if len(own) else np.inf)
+    for l, own in enumerate(held):
+        if len(own) >= LEAST_HELD:
+            bound.append(bound_of(own[:, l]))
+            continue
+        others = np.concatenate([held[m][:, l] for m in enough if m != l] or [np.zeros(0)])
+        between = pool.mean() + SPARSE_SHARE * (others.mean() - pool.mean()) if len(others) else 0.0
+        bound.append(min(max(bound_of(pool), between), even) if len(pool) else even)
     model.reject_at = np.array(bound)
     return model
 
@@ -208,7 +233,8 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Mod
     """Fit on a bounded sample of labelled rows; None if there is none.
 
     The sample is FIT_TEXTS texts of each language, those of the least hashed
-    ids, found with one pre-aggregated pass; a quarter of it sets the bounds.
+    ids, found with one pre-aggregated pass; a quarter of it sets the bounds, and
+    languages with too few of these share a pooled one.
     """
     rank = F.struct(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(text_col, 1, FIT_CHARS).alias("t"))
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
