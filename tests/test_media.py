@@ -134,6 +134,16 @@ def test_sequences_in_runs(spark):
     assert got == [{c: (a, b, m) for _, g, c, a, b, m in rows if g == f} for f in range(25)]
 
 
+def test_sequences_of_each_streams_own_length(spark):
+    rows = [(s, f, 3, 1, 2, bytes(16)) for s, frames in (("a", (0, 34)), ("b", (2,)), (None, (9,))) for f in frames]
+    df = spark.createDataFrame(rows, "stream string, frame long, cell long, fore int, back int, mask binary")
+    found = {}
+    for r in planes.encode_sequences(df, None, 20, 4, 10).orderBy("stream", "run_no").collect():
+        found.setdefault(r["stream"], []).extend(planes.read_sequence(bytes(r["payload"])))
+    assert {s: len(p) for s, p in found.items()} == {"a": 35, "b": 3, None: 10}
+    assert [f for f, p in enumerate(found["a"]) if p] == [0, 34]
+
+
 def test_stabilised_plane_matches_plain_python(spark):
     rng = random.Random(2)
     rows = [("s", f, c, rng.randrange(2), rng.randrange(2), bytes(rng.choice((0, 3, 255)) for _ in range(16))) for f in range(12) for c in range(8) if rng.random() < (c + 1) / 9]

@@ -67,6 +67,34 @@ def test_span_and_selection_tables(spark):
     assert rg.temporal_selection(df.withColumn("fit", F.lit(False)), 40, 20).count() == len(rows)
 
 
+def test_spans_cross_any_run(spark):
+    rng = random.Random(5)
+    rows, expected = [], set()
+    for stream in range(12):
+        length = rng.choice([1, 3, 250, 481, 700])
+        sets, own = [], set()
+        for _ in range(length):
+            if rng.random() < 0.05:
+                own = set(rng.sample(range(60), rng.choice([0, 1, 4, 9])))
+            sets.append(own | set(rng.sample(range(60), rng.randrange(3))) if rng.random() < 0.9 else set())
+        sets[-1] = sets[-1] or {1}
+        expected |= {(stream, a, b) for a, b in rg.caption_spans(sets)}
+        rows += [(stream, f, c, True) for f, s in enumerate(sets) for c in s]
+    rows += [(None, f, c, True) for f in range(238, 242) for c in range(5)]
+    df = spark.createDataFrame(rows, "stream long, frame long, cell long, fit boolean")
+    got = [tuple(r) for r in rg.span_table(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected | {(None, 0, 242)}
+
+
+def test_selection_does_not_depend_on_runs(spark):
+    # Lasting cells of the whole stream fill frames of a run in which they are rare.
+    rows = [(s, f, 18 * 40 + x, False) for s in ("s", None) for f in [*range(200), 400, 479] for x in range(8, 20)]
+    df = spark.createDataFrame(rows, "stream string, frame long, cell long, fit boolean")
+    whole = sorted(map(str, rg.temporal_selection(df, 40, 20, run=10**6).collect()))
+    assert len(whole) == len(rows)
+    assert all(sorted(map(str, rg.temporal_selection(df, 40, 20, run=run).collect())) == whole for run in (240, 7))
+
+
 def test_ogg_round_trip_and_faults():
     run = au.Run([bytes([31 << 3]) + bytes(n) for n in (3, 254, 255, 600)], 100, 50)
     raw = ogg.write_opus(run)

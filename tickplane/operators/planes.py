@@ -118,19 +118,32 @@ def read_sequence(raw: bytes) -> list[Plane]:
     return frames
 
 
-def encode_sequences(planes: DataFrame, frames: int, cells: int, depth: int, run: int = 120) -> DataFrame:
-    """(stream, run_no, payload): sequences of ``run`` frames, each decodable alone."""
-    schema = T.StructType([planes.schema["stream"], *struct("run_no long, payload binary")])
+def encode_sequences(planes: DataFrame, frames: Column | int | None, cells: int, depth: int, run: int = 120) -> DataFrame:
+    """(stream, run_no, payload): sequences of ``run`` frames, each decodable alone.
+
+    A stream has ``frames`` frames, by default up to its last one with a cell;
+    runs without a cell are written as well, so that all runs of a stream make it.
+    """
+    stream = planes.schema["stream"]
+    length = F.max("frame") + 1 if frames is None else F.max(frames if isinstance(frames, Column) else F.lit(frames))
+    lengths = planes.groupBy("stream").agg(length.cast("long").alias("length"))
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / run).cast("long"))).alias("run_no")
+    size = F.least(F.lit(run), F.col("length") - F.col("run_no") * run).cast("long").alias("size")
+    # One more row for each run says how many frames it has.
+    runs = lengths.select("stream", "length", number).select("stream", "run_no", size, *(F.lit(-1).cast("long").alias(c) for c in ("frame", "cell", "fore", "back")), F.lit(b"").alias("mask"))
+    listed = planes.select(
+        "stream", F.floor(F.col("frame") / run).cast("long").alias("run_no"), F.lit(0).cast("long").alias("size"), *(F.col(c).cast("long").alias(c) for c in ("frame", "cell", "fore", "back")), "mask"
+    )
 
     def write(group: pd.DataFrame) -> pd.DataFrame:
         number = int(group["run_no"].iloc[0])
-        size = min(run, frames - number * run)
-        listed: list[Plane] = [{} for _ in range(size)]
-        for frame, cell, fore, back, mask in group[["frame", "cell", "fore", "back", "mask"]].itertuples(index=False, name=None):
-            listed[int(frame) - number * run][int(cell)] = (int(fore), int(back), bytes(mask))
-        return pd.DataFrame({"stream": [group["stream"].iloc[0]], "run_no": [number], "payload": [write_sequence(listed, cells, depth)]})
+        made: list[Plane] = [{} for _ in range(int(group["size"].max()))]
+        for frame, cell, fore, back, mask in group.loc[group["cell"] >= 0, ["frame", "cell", "fore", "back", "mask"]].itertuples(index=False, name=None):
+            made[int(frame) - number * run][int(cell)] = (int(fore), int(back), bytes(mask))
+        return pd.DataFrame({"stream": [group["stream"].iloc[0]], "run_no": [number], "payload": [write_sequence(made, cells, depth)]})
 
-    return planes.withColumn("run_no", F.floor(F.col("frame") / run).cast("long")).groupBy("stream", "run_no").applyInPandas(write, schema)
+    schema = T.StructType([stream, *struct("run_no long, payload binary")])
+    return listed.unionByName(runs).groupBy("stream", "run_no").applyInPandas(write, schema)
 
 
 def consensus_mask(mask: Column, share: float) -> Column:

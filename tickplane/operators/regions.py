@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,39 +116,50 @@ def ranked_boxes(support: dict[int, int], columns: int, rows: int, persistence:
     return out
 
 
-def temporal_selection(planes: DataFrame, columns: int, rows: int, fit: str = "fit", run: int = 240) -> DataFrame:
-    """(stream, run_no, frame, cell) that captions cover.
+def temporal_selection(planes: DataFrame, columns: int, rows: int, fit: str = "fit", run: int = 240, frames: Column | int | None = None) -> DataFrame:
+    """(stream, frame, cell) that captions cover.
 
-    Runs of ``run`` frames are the unit of work.  A frame's own selection stands
-    if it is not sparse; otherwise the run's boxes fill it with their lasting
-    cells, the best supported first.
+    A frame's own selection stands if it is not sparse; otherwise its stream's
+    boxes fill it with their lasting cells, the best supported first.  Support,
+    persistence and boxes are those of the whole stream of ``frames`` frames (by
+    default up to its last one with a cell); ``run`` frames are a task's work at
+    once, which no result depends on.
     """
-    schema = T.StructType([planes.schema["stream"], *struct("run_no long, frame long, cell long")])
+    stream = planes.schema["stream"]
+    length = F.max("frame") + 1 if frames is None else F.max(frames if isinstance(frames, Column) else F.lit(frames))
+    counts = planes.groupBy("stream", "cell").agg(F.countDistinct("frame").alias("support"), length.cast("long").alias("length"))
 
-    def select(group: pd.DataFrame) -> pd.DataFrame:
-        frames = {int(f): g for f, g in group.groupby("frame")}
-        length = max(frames) - min(frames) + 1
-        support = group.groupby("cell")["frame"].nunique().to_dict()
-        support = {int(c): int(n) for c, n in support.items()}
+    def boxed(group: pd.DataFrame) -> pd.DataFrame:
+        length = int(group["length"].max())
+        support = {int(c): int(n) for c, n in zip(group["cell"], group["support"], strict=True)}
         boxes = ranked_boxes(support, columns, rows, min(length, max(2, math.ceil(length * 0.125))))
+        flat = [x for box in boxes for x in box]
+        return group[["stream", "cell", "support"]].assign(boxes=[flat] * len(group))
+
+    # A stream has at most a row for each cell of the grid here.
+    of = counts.groupBy("stream").applyInPandas(boxed, T.StructType([stream, *struct("cell long, support long"), T.StructField("boxes", T.ArrayType(T.LongType()))]))
+    of = of.select(F.col("stream").alias("__stream"), F.col("cell").alias("__cell"), "support", "boxes")
+
+    def select(group: pd.DataFrame) -> pd.DataFrame:
+        boxes = np.reshape(np.asarray(group["boxes"].iloc[0], np.int64), (-1, 4))
         floor, most = max(8, math.ceil(columns * 0.14)), columns * 2
         out = []
-        for frame, g in frames.items():
-            cells = g["cell"].to_numpy(np.int64)
+        for frame, g in group.groupby("frame"):
+            cells, support = g["cell"].to_numpy(np.int64), g["support"].to_numpy(np.int64)
             keep = frame_selection(cells, g[fit].to_numpy(bool), columns, rows)
-            if boxes and keep.sum() < floor:
+            if len(boxes) and keep.sum() < floor:
                 x, y = cells % columns, cells // columns
                 inside = np.any([(x >= a) & (x <= b) & (y >= c) & (y <= d) for a, b, c, d in boxes], 0)
-                for i in sorted(np.flatnonzero(inside & ~keep), key=lambda i: (-support[int(cells[i])], cells[i])):  # noqa: B023
+                for i in sorted(np.flatnonzero(inside & ~keep), key=lambda i: (-support[i], cells[i])):  # noqa: B023
                     if keep.sum() >= most:
                         break
                     keep[i] = True
             out.append(pd.DataFrame({"frame": frame, "cell": cells[keep]}))
-        found = pd.concat(out)
-        return found.assign(stream=group["stream"].iloc[0], run_no=group["run_no"].iloc[0])[["stream", "run_no", "frame", "cell"]]
+        return pd.concat(out).assign(stream=group["stream"].iloc[0])[["stream", "frame", "cell"]]
 
     cut = planes.select("stream", "frame", "cell", fit).withColumn("run_no", F.floor(F.col("frame") / run).cast("long"))
-    return cut.groupBy("stream", "run_no").applyInPandas(select, schema)
+    met = cut.join(of, F.col("stream").eqNullSafe(F.col("__stream")) & (F.col("cell") == F.col("__cell"))).drop("__stream", "__cell")
+    return met.groupBy("stream", "run_no").applyInPandas(select, T.StructType([stream, *struct("frame long, cell long")]))
 
 
 def _alike(a: set, b: set) -> float:
@@ -179,16 +192,64 @@ def caption_spans(sets: list[set], least: float = 0.42, shortest: int = 2, spars
     return spans
 
 
-def span_table(planes: DataFrame, frames: int, run: int = 240, least: float = 0.42, shortest: int = 2, sparse: int = 2) -> DataFrame:
-    """(stream, run_no, start, end) of caption spans, in runs of ``run`` frames."""
-    schema = T.StructType([planes.schema["stream"], *struct("run_no long, start long, end long")])
+class _Spans:
+    """``caption_spans`` of a stream whose frames come one after the other.
 
-    def spans(group: pd.DataFrame) -> pd.DataFrame:
-        first = int(group["run_no"].iloc[0]) * run
-        sets: list[set] = [set() for _ in range(min(run, frames - first))]
-        for frame, cell in zip(group["frame"], group["cell"], strict=True):
-            sets[int(frame) - first].add(int(cell))
-        found = caption_spans(sets, least, shortest, sparse)
-        return pd.DataFrame({"stream": group["stream"].iloc[0], "run_no": first // run, "start": [first + a for a, _ in found], "end": [first + b for _, b in found]})
+    A span is only closed when it is long enough, so the last one alone can be
+    short, and only the one before it is held back.  Frames without cells change
+    nothing and need not come.
+    """
 
-    return planes.select("stream", "frame", "cell").withColumn("run_no", F.floor(F.col("frame") / run).cast("long")).groupBy("stream", "run_no").applyInPandas(spans, schema)
+    def __init__(self, least: float, shortest: int, sparse: int):
+        self.least, self.shortest, self.sparse = least, shortest, sparse
+        self.start, self.seen, self.every = 0, set(), set()
+        self.held: tuple[int, int] | None = None
+
+    def add(self, frame: int, cells: set) -> list[tuple[int, int]]:
+        """The spans that are certain after the frame."""
+        if frame == 0:
+            self.seen = self.every = cells
+            return []
+        thin = len(cells) <= self.sparse or len(self.seen) <= self.sparse
+        if not thin and _alike(self.seen, cells) < self.least and frame - self.start >= self.shortest:
+            out, self.held = [self.held] if self.held else [], (self.start, frame)
+            self.start, self.seen, self.every = frame, cells, cells
+            return out
+        self.every = self.every | cells
+        if len(cells) > self.sparse:
+            self.seen = self.every
+        return []
+
+    def end(self, frames: int) -> list[tuple[int, int]]:
+        if self.held and frames - self.start < self.shortest:
+            return [(self.held[0], frames)]
+        return [*([self.held] if self.held else []), (self.start, frames)]
+
+
+def span_table(planes: DataFrame, frames: Column | int | None = None, least: float = 0.42, shortest: int = 2, sparse: int = 2) -> DataFrame:
+    """(stream, start, end) of the caption spans of whole streams.
+
+    A stream has ``frames`` frames, by default up to its last one with a cell.
+    Its frames are folded in order, batch by batch; what is kept between them is
+    a span's union of cells.
+    """
+    schema = T.StructType([planes.schema["stream"], *struct("start long, end long")])
+    length = F.max("frame") + 1 if frames is None else F.max(frames if isinstance(frames, Column) else F.lit(frames))
+    sets = planes.groupBy("stream", "frame").agg(F.collect_set("cell").alias("cells"), length.cast("long").alias("length"))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, current, state, length = pa.null(), None, None, 0
+        made = lambda found: pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in found], kind), *(pa.array([f[i] for f in found], pa.int64()) for i in (1, 2))], schema.names)
+        for batch in batches:
+            kind, found = batch.schema.field("stream").type, []
+            for row in batch.to_pylist():
+                if state is None or row["stream"] != current:
+                    found += [(current, *s) for s in state.end(length)] if state else []
+                    current, state, length = row["stream"], _Spans(least, shortest, sparse), 0
+                length = max(length, row["length"])
+                found += [(current, *s) for s in state.add(row["frame"], set(row["cells"]))]
+            yield made(found)
+        if state:
+            yield made([(current, *s) for s in state.end(length)])
+
+    return sets.repartition("stream").sortWithinPartitions("stream", "frame").mapInArrow(spans, schema)
