@@ -37,11 +37,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least id of each group of near duplicates."""
-    gone = stage(near_duplicates(docs, percent=NEAR_PERCENT).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
+    """Keep one row of each group of near duplicates, the one of the least id.
+
+    Rows without an id come after all others, and of equal ids any one row stays.
+    Texts without a word are alone, so each of their rows stays.
+    """
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return _drop_near_duplicate_rows(docs)
+    gone = stage(near_duplicates(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select("doc_id"), "gone")
     return without(docs, "doc_id", gone, "doc_id", gone.count())
 
 
+def _drop_near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    """The same where ids don't tell rows apart: each row gets a staged key."""
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, "__row", percent=NEAR_PERCENT).select("__row", "component_id").join(rows.select("__row", "doc_id"), "__row")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
+    first = found.groupBy("component_id").agg(F.min(order)["__row"].alias("first"))
+    gone = stage(found.join(first, "component_id").where("__row <> first").select("__row"), "gone")
+    return without(rows, "__row", gone, "__row", gone.count()).drop("__row")
+
+
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
     return drop_contaminated(docs, load(spark, sf_dir, "benchmark"))

@@ -40,6 +40,17 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, docs, folder):
     assert {i for i in kept if i >= 800000} == {800000}
 
 
+def test_near_duplicate_stage_keeps_one_row_of_null_and_repeated_ids(spark, docs, folder):
+    texts = [" ".join(f"{name}{i}" for i in range(200)) for name in ("lone", "both", "twice")]
+    planted = [(None, 0), (None, 0), (None, 0), (800001, 1), (None, 1), (None, 1), (800002, 2), (800002, 2), (800000, 2)]
+    rows = [(i, texts[t] if n % 2 else texts[t].replace("50", "x"), "en", f"s{t}", 1) for n, (i, t) in enumerate(planted)]
+    odd = spark.createDataFrame(rows + [(None, "", "en", "s3", 0)] * 2, docs.schema)
+    kept = cp.drop_near_duplicates(spark, docs.union(odd), folder).collect()
+    assert sorted((r["source"], r["doc_id"] or 0) for r in kept if r["source"] in ("s0", "s1", "s2", "s3")) == [("s0", 0), ("s1", 800001), ("s2", 800000), ("s3", 0), ("s3", 0)]
+    plain = {r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, folder).collect()}
+    assert {r["doc_id"] for r in kept if r["source"] not in ("s0", "s1", "s2", "s3")} == plain
+
+
 def test_decontamination_stage_drops_leaks_only(spark, docs, folder):
     items = spark.read.parquet(f"{folder}/benchmark.parquet").collect()
     leak = spark.createDataFrame([(700000 + i, f"some words before {r['text']} and after", "en", "src2", 1) for i, r in enumerate(items[:8])], docs.schema)
