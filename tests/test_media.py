@@ -65,6 +65,15 @@ def test_padding_and_segments(spark):
     assert got == {0: (round(12.5**0.5, 6), 4), 2: (round(12.5**0.5, 6), 5)}
 
 
+def test_raster_frames_hold_whole_vectors(spark, sf_dir):
+    from tickplane.plans import media_queries as mq
+
+    vectors = mq.load(spark, sf_dir, "embeddings")
+    expected = sorted([min(255, int(abs(x) * 512)) for x in r["embedding"]] for r in vectors.collect())
+    got = sorted(list(bytes(r["rgba"])[::4]) for r in mq.raster_frames(spark, sf_dir).collect())
+    assert all(len(g) == mq.FRAME_SIDE**2 for g in got) and got == expected
+
+
 def test_scene_scores():
     black, white = np.zeros((6, 8, 4), np.uint8), np.full((6, 8, 4), 255, np.uint8)
     assert ra.scene_score(black, black) == 0 and ra.scene_score(black, white) == 1
