@@ -284,6 +284,20 @@ def test_toxicity_separates_held_out_rows(spark):
     assert all(r["predicted"] == (r["score"] >= toxicity.THRESHOLD) for r in rows)
 
 
+def test_fitting_reads_whole_texts(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choices(["melon", "linen", "ranero", "sistol", "tuneral", "omareli"], k=n))
+    # What is toxic, and what is the language, comes after 9,000 characters.
+    rows = [(i, f"{prose(1600)} {'xqzzk kqxzz wjjqx' if i % 2 else prose(3)}", "aa", i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), "doc_id", "text", "toxic")
+    found = [r["score"] for r in toxicity.score(docs, model).orderBy("doc_id").collect()]
+    assert min(found[1::2]) > toxicity.THRESHOLD > max(found[::2])
+    model = language_id.learn(docs, "doc_id", "text", "lang")
+    asked = language_id.folded_points(["xqzzk"])[0]
+    assert np.isin(language_id.gram_hashes(asked, 4)[5:], model.grams[3]).all()
+
+
 def test_label_model_sees_through_noise():
     rng = np.random.default_rng(2)
     truth = rng.random(3000) < 0.3

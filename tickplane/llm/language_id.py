@@ -25,7 +25,8 @@ from tickplane.llm.textkernel import mix64, text_chunks
 
 ORDER = 4
 #: The models are fitted on at most this many texts of each language, those of
-#: the least hashed ids, and on at most this many characters of each.
+#: the least hashed ids, and on no more once these have so many characters on
+#: average; each text is read whole.
 FIT_TEXTS, FIT_CHARS = 400, 2000
 #: Kneser-Ney discount.
 DISCOUNT = 0.75
@@ -236,21 +237,23 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Mod
     ids, found with one pre-aggregated pass; a quarter of it sets the bounds, and
     languages with too few of these share a pooled one.
     """
-    rank = F.struct(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(text_col, 1, FIT_CHARS).alias("t"))
+    rank = F.struct(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("t"))
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     # Ids are thinned by their hash first, so that no task gathers a language's rows.
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: (r[1], r[2]) for r in known.groupBy(lang_col).agg(F.count("*"), F.sum(F.char_length(text_col))).collect()}
     if not sizes:
         return None
     share = F.lit(1.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 1.3 * FIT_TEXTS / n))).otherwise(share)
+    for lang, (n, chars) in sizes.items():
+        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 1.3 * FIT_TEXTS / n, max(1.3 * FIT_TEXTS * FIT_CHARS / chars, 8 / n)))).otherwise(share)
     thinned = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)), F.lit(1 << 20)) < share * (1 << 20))
     rows = thinned.select(F.col(lang_col).alias("lang"), rank.alias("r")).select("lang", "r.h", "r.t").collect()
     texts: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r["h"], r["t"])):
         texts.setdefault(row["lang"], []).append(row["t"])
-    texts = {lang: own[:FIT_TEXTS] for lang, own in texts.items()}
+    for lang, own in texts.items():
+        before = np.cumsum([0, *map(len, own)])[:-1]
+        texts[lang] = [t for t, n in zip(own[:FIT_TEXTS], before, strict=False) if n < FIT_TEXTS * FIT_CHARS]
     held = {lang: own[: len(own) // 4] for lang, own in texts.items()}
     return calibrate(fit({lang: own[len(own) // 4 :] for lang, own in texts.items()}), held)
 

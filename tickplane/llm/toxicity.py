@@ -23,8 +23,11 @@ from pyspark.sql import types as T
 from tickplane.llm.textkernel import Texts, byte_sums, hashes_between, joined, lowered, text_chunks, word_spans
 
 #: The models are fitted on at most so many labelled rows of each class, those
-#: of the least hashed ids, and on at most so many characters of each.
+#: of the least hashed ids, and on no more once these have so many characters on
+#: average; each text is read whole.
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1500, 3000, 8000
+#: Bytes of text that fitting looks at together.
+FIT_CHUNK = 1 << 20
 #: A score from here on is predicted as toxic.
 THRESHOLD = 0.7
 #: The most that the label model trusts a given label.
@@ -135,22 +138,45 @@ def count_votes(texts: Texts, voters: Voters) -> tuple[np.ndarray, np.ndarray]:
     return votes, words
 
 
+def _parts(texts: list[str]) -> Iterator[tuple[int, Texts]]:
+    """(number of the first, texts) of FIT_CHUNK bytes or one text."""
+    part, first, size = [], 0, 0
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        if part and size + len(raw) > FIT_CHUNK:
+            yield first, joined(part)
+            part, first, size = [], i, 0
+        part.append(raw)
+        size += len(raw)
+    if part:
+        yield first, joined(part)
+
+
 def mine(texts: list[str], labels: np.ndarray) -> list[tuple[int, int]]:
     """Word beginnings that labelled toxic rows have and clean ones lack."""
-    low = joined([t.lower().encode() for t in texts])
-    start, end, row = _cores(low)
-    if not len(start) or labels.min() == labels.max():
+    if labels.min() == labels.max():
         return []
-    sums, found = byte_sums(low), []
+    # By length: each row's distinct beginnings.
+    pairs: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in LENGTHS}
+    for first_row, low in _parts([t.lower() for t in texts]):
+        start, end, row = _cores(low)
+        sums = byte_sums(low)
+        for k in LENGTHS:
+            long_enough = np.flatnonzero(end - start >= max(k, 4))
+            keys = hashes_between(sums, start[long_enough], end[long_enough] if k == 0 else start[long_enough] + k)
+            order = np.lexsort((row[long_enough], keys))
+            keys, owner = keys[order], row[long_enough][order]
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+            pairs[k].append((keys[fresh], owner[fresh] + first_row))
+    found = []
     n1, n0 = (labels == 1).sum(), (labels == 0).sum()
     for k in LENGTHS:
-        long_enough = np.flatnonzero(end - start >= max(k, 4))
-        keys = hashes_between(sums, start[long_enough], end[long_enough] if k == 0 else start[long_enough] + k)
-        order = np.lexsort((row[long_enough], keys))
-        keys, owner = keys[order], row[long_enough][order]
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-        keys, owner = keys[fresh], owner[fresh]
+        keys, owner = (np.concatenate(x) for x in zip(*pairs.pop(k), strict=True))
+        if not len(keys):
+            continue
+        order = np.lexsort((owner, keys))
+        keys, owner = keys[order], owner[order]
         distinct, first, count = np.unique(keys, return_index=True, return_counts=True)
         toxic = np.add.reduceat(labels[owner] == 1, first)
         clean = count - toxic
@@ -246,7 +272,7 @@ def train_linear(x: np.ndarray, target: np.ndarray, l2: float = 0.02, rounds: in
 
 def fit(texts: list[str], labels: np.ndarray) -> Model:
     voters = make_voters(mine(texts, labels))
-    votes, words = count_votes(joined([t.encode() for t in texts]), voters)
+    votes, words = (np.concatenate(x) for x in zip(*(count_votes(part, voters) for _, part in _parts(texts)), strict=True))
     posterior = label_model(votes, labels)
     x = features(votes, words)
     w, b = train_linear(x, posterior)
@@ -267,8 +293,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     share = F.when(F.col("__label") == 1, F.lit(min(1.0, 1.2 * FIT_TOXIC / sizes.get(1, 1)))).otherwise(F.lit(min(1.0, 1.2 * FIT_CLEAN / sizes.get(0, 1))))
     chosen = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(2)), F.lit(1 << 20)) < share * (1 << 20))
     # At most some thousand ids by the line above, whatever the tables' sizes.
-    texts = docs.select(F.col(id_col).alias("__id"), F.substring(F.coalesce(text_col, F.lit("")), 1, FIT_CHARS).alias("t"))
-    rows = texts.join(F.broadcast(chosen), F.col("__id") == chosen[id_col]).select("__label", "t", F.xxhash64(F.col("__id").cast("string")).alias("h")).collect()
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("t"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    met = texts.join(F.broadcast(chosen), F.col("__id") == chosen[id_col])
+    # Lengths first: they say up to which hash whole texts fit the bound.
+    upto, sizes_of = F.lit(False), met.select("__label", "h", F.char_length("t").alias("n")).collect()
+    for label, most in ((0, FIT_CLEAN), (1, FIT_TOXIC)):
+        own = sorted((r["h"], r["n"]) for r in sizes_of if r["__label"] == label)[:most]
+        before = np.cumsum([0, *(n for _, n in own)])[:-1]
+        fitting = [h for (h, _), n in zip(own, before, strict=True) if n < most * FIT_CHARS]
+        if fitting:
+            upto = upto | ((F.col("__label") == label) & (F.col("h") <= fitting[-1]))
+    rows = met.where(upto).select("__label", "t", "h").collect()
     kept: list[tuple[int, str]] = []
     for label, most in ((0, FIT_CLEAN), (1, FIT_TOXIC)):
         kept += [(label, r["t"]) for r in sorted((r for r in rows if r["__label"] == label), key=lambda r: (r["h"], r["t"]))[:most]]
