@@ -42,9 +42,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows without an id come after all others, and of equal ids any one row stays.
     Texts without a word are alone, so each of their rows stays.
     """
-    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+    found = stage(near_duplicates(docs, percent=NEAR_PERCENT).select("doc_id", "kept"), "found")
+    if not found.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
         return _drop_near_duplicate_rows(docs)
-    gone = stage(near_duplicates(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select("doc_id"), "gone")
+    gone = found.where(~F.col("kept")).select("doc_id")
     return without(docs, "doc_id", gone, "doc_id", gone.count())
 
 
