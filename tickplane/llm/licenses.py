@@ -4,8 +4,9 @@ A text's stretch and a template are aligned on the words that occur once in
 either; of these anchors the longest increasing subsequence stays, and the gaps
 between them are aligned the same way.  What is matched, over the template's
 words, is the coverage.  Only stretches that hold enough of a template's words
-close together are aligned; a stretch that holds fewer can't reach the
-threshold.
+close together are aligned.  That is a limit: a notice with so long a text put
+into its middle that no stretch of STRETCH times its words holds enough of them
+is not reported.
 """
 
 from __future__ import annotations
