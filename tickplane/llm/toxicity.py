@@ -3,8 +3,8 @@
 Voters are lexicon words, word beginnings mined from labelled rows, and
 patterns.  A generative label model estimates each voter's accuracy and the
 voters' correlations: given the class, voters form a tree of the strongest
-conditional dependences, whose tables are fitted by expectation maximisation;
-the given label is one more voter.  A linear classifier is then trained on the
+conditional dependences, whose tables are fitted by expectation maximisation
+until they settle; the given label is one more voter, of no special trust.  A linear classifier is then trained on the
 model's posterior labels, and scores whole texts.
 """
 
@@ -30,8 +30,8 @@ FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1500, 3000, 8000
 FIT_CHUNK = 1 << 20
 #: A score from here on is predicted as toxic.
 THRESHOLD = 0.7
-#: The most that the label model trusts a given label.
-LABEL_TRUST = 0.995
+#: Rounds in which the label model chooses its tree anew.
+TREE_ROUNDS = 20
 #: Mined word beginnings: their lengths in bytes (0: the whole word) and how many at most.
 LENGTHS = (4, 5, 6, 7, 8, 9, 0)
 MINED = 96
@@ -220,12 +220,28 @@ def _tree(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return parent
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 6) -> np.ndarray:
-    """Posterior P(toxic) of each row from binary votes and the given label."""
+def _voters_only(fires: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """P(toxic) by independent voters, whose rates are counted against the given labels."""
+    logs = np.zeros((len(fires), 2))
+    for y in (0, 1):
+        own = labels == y
+        p = (fires[own].sum(0) + 1) / (own.sum() + 2)
+        logs[:, y] = np.log((own.sum() + 1) / (len(labels) + 2)) + fires @ np.log(p) + (1 - fires) @ np.log(1 - p)
+    return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, tolerance: float = 1e-4, max_rounds: int = 1000) -> np.ndarray:
+    """Posterior P(toxic) of each row from binary votes and the given label.
+
+    Expectation maximisation starts from what the voters say.  The given label
+    is one more voter: its two error rates are estimated like all others, so it
+    is believed as far as the voters bear it out.  The tree follows the
+    posteriors in the first rounds and then stays, so that the rounds settle.
+    """
     fires = np.concatenate([(labels == 1)[:, None], votes > 0], 1).astype(float)
-    weight = np.where(labels == 1, 0.95, 0.05)
-    for _ in range(rounds):
-        parent = _tree(fires, weight)
+    weight, parent = _voters_only(fires[:, 1:], labels), None
+    for turn in range(max_rounds):
+        parent = _tree(fires, weight) if turn < TREE_ROUNDS else parent
         logs = np.zeros((len(fires), 2))
         up = np.where(parent >= 0, fires[:, np.maximum(parent, 0)], 0.0)
         for y, w in ((0, 1 - weight), (1, weight)):
@@ -233,13 +249,13 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 6) -> np.nd
             for v in (0, 1):
                 group = w[:, None] * (up == v)
                 p = (np.einsum("ij,ij->j", group, fires) + 0.2) / (group.sum(0) + 2.0)
-                p[0] = np.clip(p[0], 1 - LABEL_TRUST, LABEL_TRUST)
                 logs[:, y] += ((up == v) * (fires * np.log(p) + (1 - fires) * np.log(1 - p))).sum(1)
         new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
-        if np.abs(new - weight).max() < 1e-4:
-            break
+        settled = np.abs(new - weight).max() < tolerance
         weight = new
-    return weight
+        if settled:
+            return weight
+    raise RuntimeError("the label model did not settle")
 
 
 @dataclass
@@ -292,18 +308,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         return None
     share = F.when(F.col("__label") == 1, F.lit(min(1.0, 1.2 * FIT_TOXIC / sizes.get(1, 1)))).otherwise(F.lit(min(1.0, 1.2 * FIT_CLEAN / sizes.get(0, 1))))
     chosen = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(2)), F.lit(1 << 20)) < share * (1 << 20))
-    # At most some thousand ids by the line above, whatever the tables' sizes.
+    # At most some thousand ids by the line above, whatever the tables' sizes; a
+    # repeated id is one row, its shortest text, before anything comes to the driver.
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("t"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    met = texts.join(F.broadcast(chosen), F.col("__id") == chosen[id_col])
+    met = texts.withColumn("n", F.char_length("t")).join(F.broadcast(chosen), F.col("__id") == chosen[id_col])
     # Lengths first: they say up to which hash whole texts fit the bound.
-    upto, sizes_of = F.lit(False), met.select("__label", "h", F.char_length("t").alias("n")).collect()
+    upto, sizes_of = F.lit(False), met.groupBy("__label", "h").agg(F.min("n").alias("n")).collect()
     for label, most in ((0, FIT_CLEAN), (1, FIT_TOXIC)):
         own = sorted((r["h"], r["n"]) for r in sizes_of if r["__label"] == label)[:most]
         before = np.cumsum([0, *(n for _, n in own)])[:-1]
         fitting = [h for (h, _), n in zip(own, before, strict=True) if n < most * FIT_CHARS]
         if fitting:
             upto = upto | ((F.col("__label") == label) & (F.col("h") <= fitting[-1]))
-    rows = met.where(upto).select("__label", "t", "h").collect()
+    rows = met.where(upto).groupBy("__label", "h").agg(F.min(F.struct("n", "t"))["t"].alias("t")).collect()
     kept: list[tuple[int, str]] = []
     for label, most in ((0, FIT_CLEAN), (1, FIT_TOXIC)):
         kept += [(label, r["t"]) for r in sorted((r for r in rows if r["__label"] == label), key=lambda r: (r["h"], r["t"]))[:most]]
