@@ -24,16 +24,18 @@ from pyspark.sql import types as T
 from tickplane.llm.textkernel import mix64, text_chunks
 
 ORDER = 4
-#: The models are fitted on at most this many texts of each language, those of
-#: the least hashed ids, and on no more once these have so many characters on
-#: average; each text is read whole.
+#: The models are fitted on at most this many distinct texts of each language,
+#: those of the least hashes, and on no more once these have so many characters
+#: on average; each text is read whole.
 FIT_TEXTS, FIT_CHARS = 400, 2000
 #: Kneser-Ney discount.
 DISCOUNT = 0.75
 UNKNOWN = "und"
-#: A text is rejected if its best cross-entropy is over the fitted texts' mean
-#: by this many of their standard deviations, and by the slack in nats as well.
-REJECT_DEVIATIONS, REJECT_SLACK = 8.0, 1.0
+#: At most this share of a language's own texts is rejected, whatever their
+#: cross-entropies' distribution: Cantelli's inequality turns it into standard
+#: deviations over the mean of texts that were not fitted.  The bound is also at
+#: least the slack in nats over that mean.
+REJECT_RATE, REJECT_SLACK = 0.015, 1.0
 #: Rejection needs this many letters; fewer say too little.
 REJECT_LETTERS = 20
 #: A language with fewer calibration texts than this takes a pooled bound.
@@ -215,7 +217,8 @@ def calibrate(model: Model, texts: dict[str, list[str]]) -> Model:
         entropy, letters = cross_entropies(texts[lang], model) if texts.get(lang) else (none, np.zeros(0))
         held.append(entropy[letters >= REJECT_LETTERS])
     even = np.log(len(model.grams[0]) + 1.0)
-    bound_of = lambda own: own.mean() + max(REJECT_DEVIATIONS * own.std(), REJECT_SLACK)
+    deviations = np.sqrt(1 / REJECT_RATE - 1)
+    bound_of = lambda own: own.mean() + max(deviations * own.std(), REJECT_SLACK)
     enough = [l for l in range(len(held)) if len(held[l]) >= LEAST_HELD] or [l for l in range(len(held)) if len(held[l])]
     pool = np.concatenate([held[l][:, l] for l in enough] or [np.zeros(0)])
     bound = []
@@ -233,21 +236,21 @@ def calibrate(model: Model, texts: dict[str, list[str]]) -> Model:
 def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model | None:
     """Fit on a bounded sample of labelled rows; None if there is none.
 
-    The sample is FIT_TEXTS texts of each language, those of the least hashed
-    ids, found with one pre-aggregated pass; a quarter of it sets the bounds, and
-    languages with too few of these share a pooled one.
+    The sample is FIT_TEXTS distinct texts of each language, those of the least
+    hashes of the text, found with one pre-aggregated pass; so rows without an
+    id are drawn like others, and any number of copies of a text is one.  A
+    quarter of the sample sets the bounds, and languages with too few of these
+    share a pooled one.
     """
-    rank = F.struct(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("t"))
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    # Ids are thinned by their hash first, so that no task gathers a language's rows.
-    sizes = {r[0]: (r[1], r[2]) for r in known.groupBy(lang_col).agg(F.count("*"), F.sum(F.char_length(text_col))).collect()}
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
+    sizes = {r[0]: (r[1], r[2]) for r in known.groupBy("lang").agg(F.count("*"), F.sum(F.char_length("t"))).collect()}
     if not sizes:
         return None
-    share = F.lit(1.0)
-    for lang, (n, chars) in sizes.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 1.3 * FIT_TEXTS / n, max(1.3 * FIT_TEXTS * FIT_CHARS / chars, 8 / n)))).otherwise(share)
-    thinned = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)), F.lit(1 << 20)) < share * (1 << 20))
-    rows = thinned.select(F.col(lang_col).alias("lang"), rank.alias("r")).select("lang", "r.h", "r.t").collect()
+    # Texts are thinned by their hash first, so that no task gathers a language's rows.
+    shares = {lang: min(1.0, 1.3 * FIT_TEXTS / n, max(1.3 * FIT_TEXTS * FIT_CHARS / chars, 8 / n)) for lang, (n, chars) in sizes.items()}
+    share = F.map_from_arrays(F.lit(list(shares)), F.lit([float(x) for x in shares.values()]))[F.col("lang")]
+    thinned = known.where(F.pmod(F.xxhash64("t", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20))
+    rows = thinned.withColumn("h", F.xxhash64("t")).distinct().collect()
     texts: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r["h"], r["t"])):
         texts.setdefault(row["lang"], []).append(row["t"])
