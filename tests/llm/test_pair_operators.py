@@ -2,6 +2,8 @@
 
 import itertools
 import random
+from datetime import date
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -186,16 +188,45 @@ def test_leaks_with_nothing_to_find(spark):
 def test_block_tables_find_everything_in_the_radius():
     rng = np.random.default_rng(3)
     items = dc.Index([(i, " ".join(f"t{rng.integers(999)}" for _ in range(12))) for i in range(50)]).by_length[0]
-    prints = rng.integers(0, 256, (300, 8), dtype=np.uint8)
+    prints = rng.integers(0, 256, (300, dc.BITS // 8), dtype=np.uint8)
     for i in range(200):  # near ones
         near = np.unpackbits(items.prints[i % 50])
-        near[rng.choice(64, rng.integers(0, 30), replace=False)] ^= 1
+        near[rng.choice(dc.BITS, rng.integers(0, 100), replace=False)] ^= 1
         prints[i] = np.packbits(near)
     window, item = dc.candidates(items, prints)
     far = np.unpackbits(prints[:, None, :] ^ items.prints[None], axis=2).sum(2)
     assert set(zip(window.tolist(), item.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(far <= dc.RADIUS)), strict=True))
 
 
+def test_blocks_select():
+    """Of random windows and items under one in twenty share a near block."""
+    rng = np.random.default_rng(4)
+    items = dc.Index([(i, " ".join(f"t{rng.integers(999)}" for _ in range(12))) for i in range(500)]).by_length[0]
+    window, item = dc.block_candidates(items, rng.integers(0, 256, (400, dc.BITS // 8), dtype=np.uint8))
+    assert len(window) == len(set(zip(window.tolist(), item.tolist(), strict=True))) < 0.05 * 500 * 400
+
+
+@pytest.mark.parametrize("kind, ids", [("int", [7, None]), ("string", ["seven", None]), ("decimal(9,2)", [Decimal("7.25"), None]), ("date", [date(2020, 2, 7), None])])
+def test_leaks_keep_items_of_any_type(spark, kind, ids):
+    text = "one two three four five six seven eight"
+    bench = spark.createDataFrame([(ids[0], text), (ids[1], text + " nine")], f"item_id {kind}, text string")
+    docs = spark.createDataFrame([(None, f"so {text} nine"), ("d", text), ("e", "none here")], "doc_id string, text string")
+    found = dc.decontaminate(docs, bench)
+    assert found.schema["item_id"].dataType == bench.schema["item_id"].dataType
+    got = {(r["doc_id"], r["item_id"]) for r in found.where("similarity = 1").collect()}
+    assert got == {(None, ids[0]), (None, ids[1]), ("d", ids[0])}
+
+
+def test_leaks_in_several_passes(spark, monkeypatch):
+    text = ["one two three four five six", "seven eight nine ten eleven twelve", "red green blue white black grey"]
+    bench = spark.createDataFrame(list(enumerate(text)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(text * 2)], "doc_id long, text string")
+    whole = sorted(map(tuple, dc.decontaminate(docs, bench).collect()))
+    monkeypatch.setattr(dc, "CHARS_PER_PASS", 30)
+    assert sorted(map(tuple, dc.decontaminate(docs, bench).collect())) == whole and len(whole) == 6
+    assert dc.drop_contaminated(docs, bench).count() == 0
+
+
 def test_patience_matches_in_order():
     rng = random.Random(6)
     for _ in range(300):

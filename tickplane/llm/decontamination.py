@@ -1,10 +1,12 @@
 """Benchmark decontamination: SimHash windows, multi-index Hamming blocks, exact check.
 
-A window of an item's own number of words slides over the text.  Its 64-bit
-SimHash is looked up in tables of 8-bit blocks: two fingerprints at most RADIUS
-bits apart differ by at most RADIUS // 8 bits in one of 8 blocks, so probing
-each block within that distance finds every item in the radius.  What is found
-is verified by the weighted Jaccard similarity of the two bags of shingles.
+A window of an item's own number of words slides over the text.  Its 256-bit
+SimHash is looked up by blocks of 32 bits: two fingerprints at most RADIUS bits
+apart differ by at most REACH bits in one of the eight blocks, and so by at most
+REACH // 4 bits in one byte of that block.  Byte tables give the items whose
+byte is that near, their blocks are compared, and only then whole fingerprints;
+nothing within RADIUS is passed over.  What is found is verified by the weighted
+Jaccard similarity of the two bags of shingles.
 
 Only windows that could reach the threshold are fingerprinted: the shingles
 they share with an item are shingles of the benchmark, and a similarity of t
@@ -23,42 +25,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tickplane.llm.textkernel import Texts, grams, joined, text_chunks, words
+from tickplane.llm.textkernel import Texts, grams, joined, mix64, text_chunks, tidy, words
 
 THRESHOLD = 0.8
 GRAM = 5
-BITS = 64
-#: At similarity 0.8 the fingerprints' angle is 0.476 rad: a distance of 9.7
-#: bits on average; over 23 has a probability below 2e-5.
-RADIUS = 23
+BITS = 256
+#: At similarity 0.8 the fingerprints' angle is 0.476 rad: a distance of 38.8
+#: bits on average; over 63 has a probability below 2e-5.
+RADIUS = 63
 BLOCKS = 8
-#: Items that one pass over the documents holds; a larger benchmark takes more passes.
-ITEMS_PER_PASS = 20_000
+REACH = RADIUS // BLOCKS
+BLOCK_BYTES = BITS // BLOCKS // 8
+#: Items, and characters of items, that one pass over the documents holds; a
+#: larger benchmark takes more passes.
+ITEMS_PER_PASS, CHARS_PER_PASS = 20_000, 16_000_000
+#: Shingles of windows that are summed at once.
+SUMMED = 1 << 14
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_NEIGHBOURS = [np.flatnonzero(_POPCOUNT[np.arange(256) ^ v] <= RADIUS // BLOCKS) for v in range(256)]
+_SALTS = np.random.default_rng(256).integers(0, 1 << 63, BITS // 64, dtype=np.uint64)
 
 
 def bit_votes(shingles: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each bit of each shingle hash, as (n, 64)."""
-    return (np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16) << 1) - 1
+    """+1 or -1 for each bit of each shingle's fingerprint, as (n, BITS)."""
+    spun = mix64(shingles[:, None] ^ _SALTS)
+    return (np.unpackbits(spun.view(np.uint8).reshape(-1, BITS // 8), axis=1).astype(np.int8) << 1) - 1
 
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
-    """Fingerprint bytes (n, 8) of summed bit votes (n, 64)."""
+    """Fingerprint bytes (n, BITS / 8) of summed bit votes (n, BITS)."""
     return np.packbits(sums > 0, axis=1)
 
 
 @dataclass
 class Items:
-    """Items of one length in words, with their block tables."""
+    """Items of one length in words, with their byte tables."""
 
     length: int
     gram: int
-    ids: list[int] = field(default_factory=list)
+    ids: list = field(default_factory=list)
     bags: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     prints: np.ndarray | None = None
+    #: tables[byte, value]: bits of the items whose byte is within REACH // 4 of the value.
     tables: np.ndarray | None = None
 
 
@@ -77,9 +87,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 class Index:
     """Items by length, and the set of their shingles by shingle size."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple]):
         by_length: dict[int, Items] = {}
         shingles: dict[int, list[np.ndarray]] = {}
+        prints: dict[int, list[np.ndarray]] = {}
         for item, text in rows:
             hashes = words(joined([text.encode()])).hash
             n = len(hashes)
@@ -91,26 +102,33 @@ class Index:
             own.ids.append(item)
             own.bags.append(bag(found))
             shingles.setdefault(k, []).append(found)
-            print_ = fingerprints(bit_votes(found).sum(0, dtype=np.int32)[None])
-            own.prints = print_ if own.prints is None else np.concatenate((own.prints, print_))
-        for own in by_length.values():
-            # tables[block, value, item]: is the item's block within reach of the value?
-            own.tables = np.zeros((BLOCKS, 256, len(own.ids)), bool)
-            for i, print_ in enumerate(own.prints):
-                for block, value in enumerate(print_):
-                    own.tables[block, _NEIGHBOURS[value], i] = True
+            prints.setdefault(n, []).append(fingerprints(bit_votes(found).sum(0, dtype=np.int32)[None]))
+        near = _POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)] <= REACH // BLOCK_BYTES
+        for n, own in by_length.items():
+            own.prints = np.concatenate(prints[n])
+            own.tables = np.stack([np.packbits(near[:, own.prints[:, byte]], axis=1) for byte in range(BITS // 8)])
         self.by_length = [by_length[n] for n in sorted(by_length)]
         self.shingles = {k: np.unique(np.concatenate(x)) for k, x in shingles.items()}
 
 
-def candidates(items: Items, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, item) pairs within RADIUS, through the block tables."""
-    near = np.zeros((len(prints), len(items.ids)), bool)
+def block_candidates(items: Items, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, item) pairs of which some block is within REACH, each once."""
+    n = len(items.ids)
+    every = np.zeros(0, np.int64)
     for block in range(BLOCKS):
-        near |= items.tables[block, prints[:, block]]
-    window, item = np.nonzero(near)
-    distance = _POPCOUNT[prints[window] ^ items.prints[item]].sum(1)
-    return window[distance <= RADIUS], item[distance <= RADIUS]
+        of = slice(BLOCK_BYTES * block, BLOCK_BYTES * (block + 1))
+        near = np.bitwise_or.reduce([items.tables[byte, prints[:, byte]] for byte in range(of.start, of.stop)])
+        window, item = np.nonzero(np.unpackbits(near, axis=1, count=n))
+        close = _POPCOUNT[prints[window, of] ^ items.prints[item, of]].sum(1) <= REACH
+        every = np.union1d(every, window[close] * n + item[close])
+    return every // n, every % n
+
+
+def candidates(items: Items, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, item) pairs within RADIUS."""
+    window, item = block_candidates(items, prints)
+    near = _POPCOUNT[prints[window] ^ items.prints[item]].sum(1, dtype=np.int64) <= RADIUS
+    return window[near], item[near]
 
 
 def scan(texts: Texts, index: Index) -> Iterator[tuple[int, int, float, int, int]]:
@@ -136,18 +154,22 @@ def scan(texts: Texts, index: Index) -> Iterator[tuple[int, int, float, int, int
         row = np.searchsorted(bounds, starts, "right") - 1
         inside = starts + items.length <= bounds[row + 1]
         starts, row = starts[inside], row[inside]
-        for low in range(0, len(starts), 4096):
-            some, rows = starts[low : low + 4096], row[low : low + 4096]
-            distinct, inverse = np.unique(some[:, None] + np.arange(width), return_inverse=True)
-            votes = bit_votes(own[distinct])[inverse.reshape(len(some), width)]
-            window, item = candidates(items, fingerprints(votes.sum(1, dtype=np.int32)))
+        step = max(1, SUMMED // width)
+        for low in range(0, len(starts), step):
+            some, rows = starts[low : low + step], row[low : low + step]
+            # A window's shingles stand side by side among the distinct ones, so running sums do.
+            distinct = np.unique(some[:, None] + np.arange(width))
+            sums = np.zeros((len(distinct) + 1, BITS), np.int32)
+            np.cumsum(bit_votes(own[distinct]), 0, out=sums[1:])
+            first = np.searchsorted(distinct, some)
+            window, item = candidates(items, fingerprints(sums[first + width] - sums[first]))
             for w, i in zip(window.tolist(), item.tolist(), strict=True):
                 at = int(some[w])
                 value = similarity(bag(own[at : at + width]), items.bags[i])
                 key = (int(rows[w]), items.ids[i])
                 if value >= THRESHOLD and (value, -at) > (best.get(key, (0.0, 0, 0))[0], -best.get(key, (0.0, 0, 0))[1]):
                     best[key] = (value, at, items.length)
-    for (r, item), (value, at, length) in sorted(best.items()):
+    for (r, item), (value, at, length) in sorted(best.items(), key=lambda x: x[0][0]):
         yield r, item, value, at - int(bounds[r]), length
 
 
@@ -161,23 +183,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows repeat their rows, repeated items (equal ids and texts) count once; a
     null id stays null; an empty table on either side gives no rows.
 
-    A larger benchmark than ITEMS_PER_PASS is searched in several passes, each
-    with the items of one hash range.
+    A larger benchmark than ITEMS_PER_PASS or CHARS_PER_PASS is searched in
+    several passes, each with the items of one hash range.
     """
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("body")).where("body is not null").distinct()
-    n = items.count()
-    passes = max(1, math.ceil(1.2 * n / ITEMS_PER_PASS))
     schema = T.StructType(
         [docs.schema[id_col], T.StructField(item_col, benchmark.schema[item_col].dataType), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())]
     )
-    types = [pa.int64() if isinstance(benchmark.schema[item_col].dataType, T.LongType) else None, pa.float64(), pa.int64(), pa.int64()]
+    types = [to_arrow_type(benchmark.schema[item_col].dataType), pa.float64(), pa.int64(), pa.int64()]
     out = None
-    for turn in range(passes):
-        # At most about ITEMS_PER_PASS short texts.
-        rows = [(r["item"], r["body"]) for r in items.where(F.pmod(F.xxhash64("item", "body"), F.lit(passes)) == turn).collect()]
+    for shared in _indexes(benchmark, item_col, item_text):
 
-        def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
-            index = Index(rows)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
             for batch in batches:
                 at, made = [], [[], [], [], []]
                 for part in text_chunks(batch.column(1)) if index.by_length else ():
@@ -188,29 +205,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 columns = [pa.array(x, t) for x, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], schema.names)
 
-        found = docs.select(id_col, text_col).mapInArrow(run, schema)
+        found = docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _indexes(benchmark: DataFrame, item_col: str, item_text: str) -> list:
+    """The benchmark's index as broadcast variables, one for each pass over the documents.
+
+    An index is built once, on the driver, and a worker reads it once; it holds
+    at most about ITEMS_PER_PASS items and CHARS_PER_PASS characters, or one item.
+    """
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("body")).where("body is not null").distinct()
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.char_length("body")), F.lit(0)).alias("chars")).first()  # one row
+    passes = max(1, math.ceil(1.2 * size["n"] / ITEMS_PER_PASS), math.ceil(1.2 * size["chars"] / CHARS_PER_PASS))
+    context = benchmark.sparkSession.sparkContext
+    out = []
+    for turn in range(passes):
+        rows = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(passes)) == turn).collect()
+        out.append(context.broadcast(Index([(r["item"], r["body"]) for r in rows])))
+    return out
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark passage.
 
     Rules and cases are those of ``decontaminate``; null texts stay.
     """
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("body")).where("body is not null").distinct()
-    passes = max(1, math.ceil(1.2 * items.count() / ITEMS_PER_PASS))
     place, out = docs.columns.index(text_col), docs
-    for turn in range(passes):
-        rows = [(r["item"], r["body"]) for r in items.where(F.pmod(F.xxhash64("item", "body"), F.lit(passes)) == turn).collect()]
+    for shared in _indexes(benchmark, item_col, item_text):
 
-        def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
-            index = Index(rows)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for part in text_chunks(batch.column(place)) if index.by_length else ():
                     clean[[part.first + row for row, *_ in scan(part, index)]] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(tidy(run), docs.schema)
     return out
