@@ -10,8 +10,10 @@
    below ``miss``.  Survivors are linked only by their full sets.
 4. Components of the links are contracted, a few bands after the other.  Buckets
    that still hold nodes of several components are searched between the
-   components, in blocks, so a link that no star saw is found as well; a block
-   returns links that connect its components, not all its pairs.
+   components, so a link that no star saw is found as well.  Most of such a
+   bucket is one component, its hub; the others meet the hub and each other in
+   blocks of bounded bytes.  A pair is looked at in the first band that it
+   shares, and a block returns links that connect its components, not its pairs.
 """
 
 from __future__ import annotations
@@ -21,13 +23,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickplane.llm.textkernel import mix64, shingle_sets, text_chunks, words
+from tickplane.llm.textkernel import mix64, shingle_sets, text_chunks, tidy, words
 from tickplane.operators.components import connected_components
 from tickplane.operators.prefilter import maybe_among
 from tickplane.tables import stage, unstage
@@ -36,8 +37,8 @@ MISS = 1e-6
 MAX_HASHES = 128
 #: Hashes compared between two looks at the posterior.
 BATCH = 24
-#: Rows in a block of a bucket.
-BLOCK = 512
+#: Bytes of signatures and shingle sets in a block of a bucket.
+BLOCK_BYTES = 1 << 20
 
 _PERMUTATIONS = np.random.default_rng(7).integers(0, 1 << 63, MAX_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -102,7 +103,7 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, k: int, hashes: int) ->
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "n", "print", "sig"]
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -116,7 +117,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 grams = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), grams], ["id", "grams"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def prune(candidates: DataFrame, threshold: float, miss: float, hashes: int) -> DataFrame:
@@ -133,7 +134,7 @@ def prune(candidates: DataFrame, threshold: float, miss: float, hashes: int) ->
                 alive, matches, seen = alive[keep], matches[keep], upto
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive))], ["a", "b"])
 
-    return candidates.select("a", "b", "sig_a", "sig_b").mapInArrow(run, T.StructType([candidates.schema["a"], candidates.schema["b"]]))
+    return candidates.select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(run), T.StructType([candidates.schema["a"], candidates.schema["b"]]))
 
 
 def _with_signatures(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -173,19 +174,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k:
 
 
 class _Between:
-    """Pairs of different components inside one group of signatures."""
+    """Candidate pairs of different components inside one block of a bucket."""
 
     def __init__(self, threshold: float, miss: float, hashes: int):
         self.looks = [(n, least_matches(n, threshold, miss)) for n in [*range(BATCH, hashes, BATCH), hashes]]
-        self.hashes = hashes
-
-    def partners(self, group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-        """For each row the later rows of other components that survive all looks."""
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, self.hashes)
-        comp, own = group["component"].to_numpy(), group["own"].to_numpy()
-        same = group["i"].iloc[0] == group["j"].iloc[0]
-        for row in range(len(sig) - 1):
-            rest = row + 1 + np.flatnonzero((comp[row + 1 :] != comp[row]) & (same | (own[row + 1 :] != own[row])))
+        self.rows, self.hashes = plan_bands(threshold, miss)[0], hashes
+
+    def pairs(self, group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row of the block's own side the rows of the other side that survive all looks.
+
+        Both sides of a block with itself are the same rows, each pair once.  A
+        pair that shares an earlier band is left to that band's bucket.
+        """
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(-1, self.hashes)
+        part, comp = group["part"].to_numpy(), group["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+        i, j, before = group["i"][0].as_py(), group["j"][0].as_py(), self.rows * group["band"][0].as_py()
+        mine, others = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        for place, row in enumerate(mine.tolist()):
+            rest = others[place + 1 :] if i == j else others
+            rest = rest[comp[rest] != comp[row]]
             matches, seen = np.zeros(len(rest), np.int64), 0
             for upto, least in self.looks:
                 if not len(rest):
@@ -193,17 +200,37 @@ class _Between:
                 matches = matches + (sig[rest, seen:upto] == sig[row, seen:upto]).sum(1)
                 keep = matches >= least
                 rest, matches, seen = rest[keep], matches[keep], upto
+            if before and len(rest):
+                met = (sig[rest, :before] == sig[row, :before]).reshape(len(rest), -1, self.rows).all(2).any(1)
+                rest = rest[~met]
             if len(rest):
                 yield row, rest
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    """Cut each bucket into blocks by a hash of the node, and deal every two blocks to a group.
+def _dealt(members: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Deal the rows of mixed buckets to groups (band, key, i, j), blocks ``part`` i and j of a bucket.
 
-    A group holds about two blocks of rows at most, whatever the bucket's size.
+    A bucket's hub is its component of most bytes, and is cut into the blocks
+    -1, -2, ...; the other components' rows into 0, 1, ...  Blocks of others meet
+    all blocks, those of the hub only others: with h and o blocks of either kind
+    a hub row is dealt o times and another o + h times.  Near copies are one
+    component but for a few, so that is in proportion to the bucket.
     """
-    cut = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    return cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    met = members.join(mixed, ["band", "key"])
+    in_hub = F.col("component") == F.col("hub")
+    blocks = F.when(in_hub, F.col("hub_blocks")).otherwise(F.col("other_blocks"))
+    cut = met.withColumn("part", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("part", F.when(in_hub, -1 - F.col("part")).otherwise(F.col("part")))
+    others = F.sequence(F.lit(0), F.col("other_blocks") - 1)
+    partners = F.when(in_hub, others).otherwise(F.concat(others, F.transform(F.sequence(F.lit(1), F.col("hub_blocks")), lambda x: -x)))
+    return cut.withColumn("other", F.explode(partners)).withColumn("i", F.greatest("part", "other")).withColumn("j", F.least("part", "other"))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """(band, key, hub, hub_blocks, other_blocks) of the buckets with several components."""
+    parts = members.groupBy("band", "key", "component").agg(F.sum("weight").alias("bytes"))
+    hubs = parts.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("bytes").alias("all"), F.max(F.struct("bytes", "component")).alias("hub")).where("n > 1")
+    blocks = lambda size: F.ceil(size / BLOCK_BYTES).cast("int")
+    return hubs.select("band", "key", F.col("hub.component").alias("hub"), blocks(F.col("hub.bytes")).alias("hub_blocks"), blocks(F.col("all") - F.col("hub.bytes")).alias("other_blocks"))
 
 
 def _links_between(members: DataFrame, nodes: DataFrame, find: _Between, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -214,45 +241,55 @@ def _links_between(members: DataFrame, nodes: DataFrame, find: _Between, docs: D
     its components, at most one for each row, never a group's pairs.
     """
     id_type = nodes.schema["id"].dataType
-    signed = members.join(nodes.select("id", "sig"), "id")
-    columns = ["band", "key", "i", "j", "own", "size", "id", "component", "sig"]
+    columns = ["band", "key", "i", "j", "part", "id", "component", "sig"]
+    weight = 2 * find.hashes + 8 * F.col("n")
+    members = stage(members.select("band", "key", "id", "component").join(nodes.select("id", weight.alias("weight")), "id"), "member")
+    dealt = _dealt(members, _mixed(members)).join(nodes.select("id", "sig"), "id").select(*columns)
 
-    def suspects(group: pd.DataFrame) -> pd.DataFrame:
+    def suspects(group: pa.Table) -> pa.Table:
         hit = np.zeros(len(group), bool)
-        for row, rest in find.partners(group):
+        for row, rest in find.pairs(group):
             hit[row] = True
             hit[rest] = True
-        return group.loc[hit, columns]
+        return group.filter(pa.array(hit))
 
-    dealt = _in_blocks(signed).select(*columns)
     schema = T.StructType([dealt.schema[c] for c in columns])
-    found = stage(dealt.groupBy("band", "key", "i", "j").applyInPandas(suspects, schema), "suspects")
+    found = stage(dealt.groupBy("band", "key", "i", "j").applyInArrow(suspects, schema), "suspects")
     sets = _sets_of(found.select("id"), docs, id_col, text_col, k)
 
-    def connect(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.reset_index(drop=True)
-        ids, parent = group["id"].to_numpy(), {c: c for c in group["component"]}
+    def connect(group: pa.Table) -> pa.Table:
+        ids, comp = group["id"].combine_chunks(), group["component"].to_pylist()
+        lists = group["grams"].combine_chunks()
+        bounds, grams = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        parent = {c: c for c in comp}
 
         def root(c):
             while parent[c] != c:
                 parent[c] = c = parent[parent[c]]
             return c
 
-        comp, sets_, links = group["component"].to_list(), group["grams"].to_list(), []
-        for row, rest in find.partners(group):
+        links = [[], []]
+        for row, rest in find.pairs(group):
+            own = grams[bounds[row] : bounds[row + 1]]
             for other in rest.tolist():
                 x, y = root(comp[row]), root(comp[other])
                 if x == y:
                     continue
-                common = len(np.intersect1d(sets_[row], sets_[other], assume_unique=True))
-                if 100 * common >= percent * (len(sets_[row]) + len(sets_[other]) - common):
+                theirs = grams[bounds[other] : bounds[other + 1]]
+                at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                common = int((own[at] == theirs).sum())
+                if 100 * common >= percent * (len(own) + len(theirs) - common):
                     parent[x] = y
-                    links.append((ids[row], ids[other]))
-        return pd.DataFrame(links, columns=["a", "b"])
+                    links[0].append(row)
+                    links[1].append(other)
+        return pa.Table.from_arrays([ids.take(pa.array(x, pa.int64())) for x in links], ["a", "b"])
 
-    whole = found.join(sets, "id")
+    whole = found.join(sets, "id").select(*columns, "grams")
     schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
-    return stage(whole.groupBy("band", "key", "i", "j").applyInPandas(connect, schema).distinct(), "links")
+    links = stage(whole.groupBy("band", "key", "i", "j").applyInArrow(connect, schema).distinct(), "links")
+    for done in (members, found, sets):
+        unstage(done)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 5, miss: float = MISS) -> DataFrame:
@@ -281,6 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     buckets = stage(in_bands.groupBy("band", "key").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1"), "buckets")
     members = stage(in_bands.join(buckets, ["band", "key"]).where("id <> first"), "members")
+    unstage(buckets)
 
     links = labels = None
 
@@ -290,10 +328,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return rows.join(labels.select(F.col("node").alias(column), F.col("component").alias(to)), column, "left").withColumn(to, F.coalesce(to, column))
 
     def contract(more: DataFrame) -> None:
+        """Take further links into the components."""
         nonlocal links, labels
         if not more.isEmpty():
             links = more if links is None else links.unionByName(more)
-            labels = stage(connected_components(links), "labels")
+            old, labels = labels, stage(connected_components(links), "labels")
+            if old is not None:
+                unstage(old)
 
     # Stars, first of a few bands, so that a group of near copies is contracted
     # before its other bands are looked at.
@@ -305,9 +346,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         contract(_verified(prune(sized, threshold, miss, hashes), docs, id_col, text_col, k, percent))
 
     # The least node of a bucket has met all others; what is left is between the others.
-    member = stage(labelled(members.where("size > 2"), "id", "component"), "member")
-    mixed = member.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
-    contract(_links_between(member.join(mixed, ["band", "key"]), nodes, _Between(threshold, miss, hashes), docs, id_col, text_col, k, percent))
+    left = labelled(members.where("size > 2"), "id", "component")
+    contract(_links_between(left, nodes, _Between(threshold, miss, hashes), docs, id_col, text_col, k, percent))
+    unstage(members)
 
     if labels is None:
         labels = nodes.where("false").select(F.col("id").alias("node"), F.col("id").alias("component"))

@@ -7,14 +7,17 @@ byte belongs to a word.  Nulls read as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _RNG = np.random.default_rng(20240607)
 _BYTE_KEYS = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,6 +48,33 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS, _INVERSES
 
 
+def release() -> None:
+    """Give the memory that a finished task held back to the system."""
+    global _POWERS, _INVERSES
+    _POWERS = _INVERSES = np.ones(1, np.uint64)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run``, a function of Arrow batches, that leaves nothing behind in its worker.
+
+    Python workers outlive tasks, and one of another stage may work beside them.
+    """
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit integers."""
     x = x ^ (x >> np.uint64(30))
@@ -89,6 +119,30 @@ def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[Text
         row = end
 
 
+def word_pieces(texts: Texts, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, Texts]]:
+    """(byte offset, piece) of a single long text, cut between words.
+
+    Only a piece that has no white space to cut at is longer.
+    """
+    at, n = 0, len(texts.data)
+    while at < n:
+        end = min(at + max_bytes, n)
+        if end < n:
+            blanks = np.flatnonzero(_SPACE[texts.data[at:end]])
+            if len(blanks) and blanks[-1] > 0:
+                end = at + int(blanks[-1])
+            else:
+                end = at + 1
+                while end < n:
+                    blanks = np.flatnonzero(_SPACE[texts.data[end : end + max_bytes]])
+                    if len(blanks):
+                        end += int(blanks[0])
+                        break
+                    end = min(end + max_bytes, n)
+        yield at, Texts(texts.data[at:end], np.array([0, end - at]), texts.first)
+        at = end
+
+
 @dataclass
 class Words:
     """All words of a piece in text order; ``bounds[i]:bounds[i+1]`` are row i's."""
@@ -145,13 +199,38 @@ def joined(rows: list[bytes], first: int = 0) -> Texts:
 
 
 def span_hashes(texts: Texts, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of byte ranges; ``lower`` folds A-Z first."""
-    powers, inverses = _powers(len(texts.data) + 1)
+    """64-bit hashes of byte ranges in text order; ``lower`` folds A-Z first.
+
+    Sums run over CHUNK_BYTES of text at once, as a hash doesn't depend on where
+    the range stands; a longer range is summed in parts.
+    """
     keys = _BYTE_KEYS[_LOWER] if lower else _BYTE_KEYS
-    sums = np.empty(len(texts.data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(keys[texts.data] * powers[: len(texts.data)], out=sums[1:])
-    return mix64((sums[end] - sums[start]) * inverses[start])
+    out, first = np.empty(len(start), np.uint64), 0
+    while first < len(start):
+        low = int(start[first])
+        last = int(np.searchsorted(end, low + CHUNK_BYTES, "right"))
+        if last <= first:
+            out[first] = _long_hash(texts.data[low : end[first]], keys)
+            first += 1
+            continue
+        size = int(end[last - 1]) - low
+        powers, inverses = _powers(size + 1)
+        sums = np.empty(size + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(keys[texts.data[low : low + size]] * powers[:size], out=sums[1:])
+        a, b = start[first:last] - low, end[first:last] - low
+        out[first:last] = mix64((sums[b] - sums[a]) * inverses[a])
+        first = last
+    return out
+
+
+def _long_hash(data: np.ndarray, keys: np.ndarray) -> np.uint64:
+    powers, _ = _powers(CHUNK_BYTES + 1)
+    total = 0
+    for at in range(0, len(data), CHUNK_BYTES):
+        part = keys[data[at : at + CHUNK_BYTES]]
+        total += int((part * powers[: len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), at, 1 << 64)
+    return mix64(np.array([total & ((1 << 64) - 1)], np.uint64))[0]
 
 
 def words(texts: Texts, lower: bool = True) -> Words:
