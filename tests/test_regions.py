@@ -127,3 +127,36 @@ def test_rate_distortion_choices(spark):
 def test_subset_map_keeps_its_own():
     to = rd.subset_map(GLYPHS, 32)
     assert to[:32].tolist() == list(range(32)) and to.max() < 32
+
+
+def _plain_spans(sets, least=0.42, shortest=2, sparse=2):
+    """The rule by its words: every frame is compared with what its span showed up to the last full frame."""
+    starts = [0]
+    for i in range(1, len(sets)):
+        full = [j for j in range(starts[-1], i) if j == starts[-1] or len(sets[j]) > sparse]
+        known = set().union(*sets[starts[-1] : full[-1] + 1])
+        both, either = known & sets[i], known | sets[i]
+        if min(len(known), len(sets[i])) > sparse and i - starts[-1] >= shortest and len(both) < least * len(either):
+            starts.append(i)
+    if len(starts) > 1 and len(sets) - starts[-1] < shortest:
+        starts.pop()
+    return list(zip(starts, [*starts[1:], len(sets)], strict=True))
+
+
+def test_caption_spans_follow_the_rule():
+    rng = random.Random(7)
+    for _ in range(300):
+        sets, base = [], 0
+        for _ in range(rng.randrange(1, 25)):
+            base += rng.choice((0, 0, 0, 4, 9))
+            sets.append(set(rng.sample(range(base, base + 8), rng.choice((0, 1, 2, 3, 5, 6)))))
+        assert rg.caption_spans(sets) == _plain_spans(sets)
+
+
+def test_short_spans_join_the_more_alike_neighbour():
+    a, b, c = {1, 2, 3}, {1, 2, 9}, {7, 8, 9}
+    assert rg.without_short([(0, 2), (2, 3), (3, 5)], [a, a, b, c, c], 2) == [(0, 3), (3, 5)]
+    assert rg.without_short([(0, 2), (2, 3), (3, 5)], [c, c, b, a, a], 2) == [(0, 2), (2, 5)]
+    assert rg.without_short([(0, 1), (1, 2), (2, 3)], [a, b, c], 3) == [(0, 3)]
+    assert rg.without_short([(0, 2), (2, 3), (3, 5)], [a, a, {5}, c, c], 2) == [(0, 3), (3, 5)]  # the left one among equals
+    assert rg.without_short([(0, 1)], [a], 2) == [(0, 1)]

@@ -75,13 +75,26 @@ def frame_selection(cells: np.ndarray, fit: np.ndarray, columns: int, rows: int,
     return keep
 
 
-def _scored(cells: np.ndarray, support: dict[int, int], columns: int, rows: int) -> dict:
-    x, y = cells % columns, cells // columns
-    width, height, used = int(np.ptp(x)) + 1, int(np.ptp(y)) + 1, len(np.unique(x))
-    total = sum(support[int(c)] for c in cells)
-    centre = 1 - abs((x.min() + x.max()) / 2 - (columns - 1) / 2) / columns
-    score = total * width * (1 + y.max() / max(1, rows - 1)) * (0.5 + used / width) * (0.75 + centre) / height
-    return {"cells": np.sort(cells), "width": width, "height": height, "used": used, "score": score, "box": (int(x.min()), int(x.max()), int(y.min()), int(y.max()))}
+#: Fixed values of a region's score: what fill and centring are counted from.
+FILL_BASE, CENTRE_BASE = 0.5, 0.75
+
+
+def measured(group: np.ndarray, cells: np.ndarray, weight: np.ndarray, columns: int, rows: int) -> pd.DataFrame:
+    """Box, size and score of each group of cells, by group number.
+
+    The score is the weight that the group's cells have in all, times its width
+    over its height, and more for groups that are low, fill their columns and
+    stand in the middle.
+    """
+    table = pd.DataFrame({"group": group, "cell": cells, "weight": weight, "x": cells % columns, "y": cells // columns})
+    out = table.groupby("group").agg(
+        left=("x", "min"), right=("x", "max"), top=("y", "min"), bottom=("y", "max"), n=("cell", "size"), first=("cell", "min"), used=("x", "nunique"), weight=("weight", "sum")
+    )
+    out["width"], out["height"] = out.right - out.left + 1, out.bottom - out.top + 1
+    low = 1 + out.bottom / max(1, rows - 1)
+    fill = FILL_BASE + out.used / out.width
+    centre = CENTRE_BASE + 1 - ((out.left + out.right) / 2 - (columns - 1) / 2).abs() / columns
+    return out.assign(score=out.weight * out.width * low * fill * centre / out.height)
 
 
 def ranked_boxes(support: dict[int, int], columns: int, rows: int, persistence: int, gap: int = 3, most: int = 2, grow: int = 1) -> list[tuple[int, int, int, int]]:
@@ -94,26 +107,31 @@ def ranked_boxes(support: dict[int, int], columns: int, rows: int, persistence:
     lasting = np.array(sorted(c for c, n in support.items() if n >= persistence and c // columns >= first), np.int64)
     if not len(lasting):
         return []
-    labels = components(lasting, columns, gap)
-    found = [_scored(lasting[labels == v], support, columns, rows) for v in np.unique(labels)]
-    found = [f for f in found if len(f["cells"]) >= 3 and f["width"] >= least_width(columns) and f["height"] <= most_height(rows)]
-    columns_needed = max(4, math.ceil(least_width(columns) * 0.65))
-    for top in range(first, rows):
-        for height in range(1, min(most_height(rows), rows - top) + 1):
-            band = lasting[(lasting // columns >= top) & (lasting // columns < top + height)]
-            if len(band) >= 3 and (f := _scored(band, support, columns, rows))["width"] >= least_width(columns) and f["used"] >= columns_needed:
-                found.append(f)
-    out: list[tuple[int, int, int, int]] = []
-    area = lambda b: max(0, b[1] - b[0] + 1) * max(0, b[3] - b[2] + 1)
-    for f in sorted(found, key=lambda f: (-f["score"], -f["width"], int(f["cells"][0]))):
-        left, right, top, bottom = f["box"]
-        box = (max(0, left - grow), min(columns - 1, right + grow), top, bottom)
-        meet = lambda o: area((max(o[0], box[0]), min(o[1], box[1]), max(o[2], box[2]), min(o[3], box[3])))  # noqa: E731, B023
-        if all(meet(o) / min(area(o), area(box)) < OVERLAP for o in out):
-            out.append(box)
-        if len(out) == most:
+    weight = np.array([support[int(c)] for c in lasting])
+    parts = measured(components(lasting, columns, gap), lasting, weight, columns, rows)
+    parts = parts[(parts.n >= 3) & (parts.width >= least_width(columns)) & (parts.height <= most_height(rows))]
+    # A cell is in every band that holds its row; a band's number is its top and height.
+    tall = most_height(rows)
+    top, height = (x.ravel() for x in np.meshgrid(np.arange(first, rows), np.arange(1, tall + 1), indexing="ij"))
+    inside = (top + height <= rows) & (lasting[:, None] // columns >= top) & (lasting[:, None] // columns < top + height)
+    cell, band = np.nonzero(inside)
+    bands = measured(band, lasting[cell], weight[cell], columns, rows)
+    bands = bands[(bands.n >= 3) & (bands.width >= least_width(columns)) & (bands.used >= max(4, math.ceil(least_width(columns) * 0.65)))]
+    ranked = pd.concat([parts, bands]).sort_values(["score", "width", "first"], ascending=[False, False, True], kind="stable")
+    return _apart([(max(0, r.left - grow), min(columns - 1, r.right + grow), r.top, r.bottom) for r in ranked.itertuples()], most)
+
+
+def _apart(boxes: list[tuple[int, int, int, int]], most: int) -> list[tuple[int, int, int, int]]:
+    """The first ``most`` boxes of which none lies on an earlier one by OVERLAP of the smaller area or more."""
+    kept = np.zeros((0, 4), np.int64)
+    for box in boxes:
+        both = np.stack([np.maximum(kept[:, 0], box[0]), np.minimum(kept[:, 1], box[1]), np.maximum(kept[:, 2], box[2]), np.minimum(kept[:, 3], box[3])], 1)
+        area = lambda b: np.clip(b[:, 1] - b[:, 0] + 1, 0, None) * np.clip(b[:, 3] - b[:, 2] + 1, 0, None)
+        if not (area(both) >= OVERLAP * np.minimum(area(kept), area(np.array([box])))).any():
+            kept = np.concatenate((kept, [box]))
+        if len(kept) == most:
             break
-    return out
+    return [tuple(int(x) for x in b) for b in kept]
 
 
 def temporal_selection(planes: DataFrame, columns: int, rows: int, fit: str = "fit", run: int = 240, frames: Column | int | None = None) -> DataFrame:
@@ -162,68 +180,78 @@ def temporal_selection(planes: DataFrame, columns: int, rows: int, fit: str = "f
     return met.groupBy("stream", "run_no").applyInPandas(select, T.StructType([stream, *struct("frame long, cell long")]))
 
 
-def _alike(a: set, b: set) -> float:
-    return len(a & b) / len(a | b) if a or b else 1.0
+def likeness(a: set, b: set) -> float:
+    """Shared cells over all cells; 1 for two empty sets."""
+    shared = len(a & b)
+    joint = len(a) + len(b) - shared
+    return shared / joint if joint else 1.0
 
 
-def caption_spans(sets: list[set], least: float = 0.42, shortest: int = 2, sparse: int = 2) -> list[tuple[int, int]]:
-    """Spans (start, end) of frames whose cell sets belong together.
+class Spans:
+    """Cuts a stream of frames into spans whose cells belong together, frame by frame.
 
-    A frame starts a span if it is unlike the span so far, neither of them is
-    sparse and the span is long enough; then short spans, leftmost first, join
-    the neighbour that is more like them (the left one among equals).
-    """
-    spans, start, seen = [], 0, sets[0]
-    for i in range(1, len(sets)):
-        thin = len(sets[i]) <= sparse or len(seen) <= sparse
-        if not thin and _alike(seen, sets[i]) < least and i - start >= shortest:
-            spans.append((start, i))
-            start, seen = i, sets[i]
-        elif len(sets[i]) > sparse:
-            seen = set().union(*sets[start : i + 1])
-    spans.append((start, len(sets)))
-    union = lambda s: set().union(*sets[s[0] : s[1]])
-    while len(spans) > 1 and (short := next((i for i, s in enumerate(spans) if s[1] - s[0] < shortest), None)) is not None:
-        own = union(spans[short])
-        left = _alike(own, union(spans[short - 1])) if short else -1
-        right = _alike(own, union(spans[short + 1])) if short + 1 < len(spans) else -1
-        low = short - 1 if left >= right else short
-        spans[low : low + 2] = [(spans[low][0], spans[low + 1][1])]
-    return spans
-
-
-class _Spans:
-    """``caption_spans`` of a stream whose frames come one after the other.
-
-    A span is only closed when it is long enough, so the last one alone can be
-    short, and only the one before it is held back.  Frames without cells change
-    nothing and need not come.
+    A frame opens a span if it is unlike the cells of the span so far, neither
+    of them is sparse, and the span has the least length.  So all spans but the
+    last are long enough; a short last one joins the one before it, which is why
+    one span is held back.  Sparse frames add nothing to what the next frame is
+    compared with until a fuller one comes.  Frames without cells change nothing
+    and need not be given.
     """
 
     def __init__(self, least: float, shortest: int, sparse: int):
         self.least, self.shortest, self.sparse = least, shortest, sparse
-        self.start, self.seen, self.every = 0, set(), set()
-        self.held: tuple[int, int] | None = None
+        self.opened, self.known, self.seen = [0], set(), set()
 
     def add(self, frame: int, cells: set) -> list[tuple[int, int]]:
         """The spans that are certain after the frame."""
         if frame == 0:
-            self.seen = self.every = cells
+            self.known = self.seen = cells
+            return []
+        full = min(len(cells), len(self.known)) > self.sparse
+        if full and frame - self.opened[-1] >= self.shortest and likeness(self.known, cells) < self.least:
+            self.opened.append(frame)
+            self.known = self.seen = cells
+            if len(self.opened) > 2:
+                return [(self.opened.pop(0), self.opened[0])]
             return []
-        thin = len(cells) <= self.sparse or len(self.seen) <= self.sparse
-        if not thin and _alike(self.seen, cells) < self.least and frame - self.start >= self.shortest:
-            out, self.held = [self.held] if self.held else [], (self.start, frame)
-            self.start, self.seen, self.every = frame, cells, cells
-            return out
-        self.every = self.every | cells
+        self.seen = self.seen | cells
         if len(cells) > self.sparse:
-            self.seen = self.every
+            self.known = self.seen
         return []
 
     def end(self, frames: int) -> list[tuple[int, int]]:
-        if self.held and frames - self.start < self.shortest:
-            return [(self.held[0], frames)]
-        return [*([self.held] if self.held else []), (self.start, frames)]
+        """The spans still open when the stream has ``frames`` frames."""
+        starts = self.opened
+        if len(starts) == 2 and frames - starts[1] < self.shortest:
+            starts = starts[:1]
+        return list(zip(starts, [*starts[1:], frames], strict=True))
+
+
+def caption_spans(sets: list[set], least: float = 0.42, shortest: int = 2, sparse: int = 2) -> list[tuple[int, int]]:
+    """Spans (start, end) of a whole stream, by ``Spans``."""
+    state = Spans(least, shortest, sparse)
+    return [s for i, cells in enumerate(sets) for s in state.add(i, cells)] + state.end(len(sets))
+
+
+def without_short(spans: list[tuple[int, int]], sets: list[set], shortest: int) -> list[tuple[int, int]]:
+    """Neighbouring spans with the short ones, leftmost first, joined to the neighbour that is more like them.
+
+    The left neighbour wins among equals.  What stands to the left is always long
+    enough, so one walk does it.
+    """
+    done: list[tuple[int, int, set]] = []
+    todo = [(start, end, set().union(*sets[start:end])) for start, end in reversed(spans)]
+    while todo:
+        start, end, cells = todo.pop()
+        if end - start >= shortest or not (done or todo):
+            done.append((start, end, cells))
+        elif todo and (not done or likeness(cells, todo[-1][2]) > likeness(cells, done[-1][2])):
+            _, end, more = todo.pop()
+            todo.append((start, end, cells | more))
+        else:
+            start, _, more = done.pop()
+            done.append((start, end, cells | more))
+    return [(start, end) for start, end, _ in done]
 
 
 def span_table(planes: DataFrame, frames: Column | int | None = None, least: float = 0.42, shortest: int = 2, sparse: int = 2) -> DataFrame:
@@ -245,7 +273,7 @@ def span_table(planes: DataFrame, frames: Column | int | None = None, least: flo
             for row in batch.to_pylist():
                 if state is None or row["stream"] != current:
                     found += [(current, *s) for s in state.end(length)] if state else []
-                    current, state, length = row["stream"], _Spans(least, shortest, sparse), 0
+                    current, state, length = row["stream"], Spans(least, shortest, sparse), 0
                 length = max(length, row["length"])
                 found += [(current, *s) for s in state.add(row["frame"], set(row["cells"]))]
             yield made(found)
