@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from tickplane.llm.textkernel import Texts, span_hashes, word_spans
+from tickplane.llm.textkernel import CHUNK_BYTES, Texts, span_hashes, word_pieces, word_spans
 
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 TAGS = 3
@@ -40,6 +40,9 @@ class Tokens:
     core_start: np.ndarray
     core_end: np.ndarray
     features: np.ndarray
+    #: Tokens with a digit, and with an assignment sign.
+    digits: int
+    signs: int
 
 
 @dataclass
@@ -64,8 +67,11 @@ def template_sizes(keywords: tuple[str, ...], file_features: bool) -> list[int]:
     return [7 * 4 * 4, 3 * 4 * 4, n, n, n, 28 + 1, 28 + 1, 100, 7 * 3, *([12] if file_features else [])]
 
 
-def tokenise(texts: Texts, keywords: tuple[str, ...], file_features: bool) -> Tokens:
-    """Tokens of a piece with their template values."""
+def tokenise(texts: Texts, keywords: tuple[str, ...], file_features: bool, of_file: int | None = None) -> Tokens:
+    """Tokens of a piece with their template values.
+
+    ``of_file`` is the file's template value where the piece isn't the whole file.
+    """
     start, end, bounds = word_spans(texts)
     n, size = len(start), len(texts.data)
     kinds = _CLASS[texts.data]
@@ -129,10 +135,15 @@ def tokenise(texts: Texts, keywords: tuple[str, ...], file_features: bool) -> To
     if file_features:
         rows = np.diff(bounds)
         per_row = lambda x: np.add.reduceat(np.append(x, 0), np.minimum(bounds[:-1], n))[: len(rows)] * (rows > 0)
-        share = np.searchsorted([1, 5, 20], 100 * per_row(digit > 0) / np.maximum(rows, 1), "right")
-        signs = np.searchsorted([1, 5], per_row(assign > 0), "right")
-        columns.append(np.repeat(share * 3 + signs, rows))
-    return Tokens(start, end, bounds, core_start, core_end, np.stack(columns, 1) if n else np.zeros((0, len(columns)), np.int64))
+        values = file_value(per_row(digit > 0), per_row(assign > 0), rows) if of_file is None else np.full(len(rows), of_file)
+        columns.append(np.repeat(values, rows))
+    return Tokens(start, end, bounds, core_start, core_end, np.stack(columns, 1) if n else np.zeros((0, len(columns)), np.int64), int((digit > 0).sum()), int((assign > 0).sum()))
+
+
+def file_value(with_digit, with_sign, tokens) -> np.ndarray:
+    """Template value of a file: its share of tokens with digits and with assignment signs."""
+    share = lambda x: 100 * np.asarray(x) / np.maximum(tokens, 1)
+    return np.searchsorted([1, 5, 20], share(with_digit), "right") * 3 + np.searchsorted([1, 5], share(with_sign), "right")
 
 
 def emissions(features: np.ndarray, emit: list[np.ndarray]) -> np.ndarray:
@@ -250,20 +261,91 @@ def viterbi(score: np.ndarray, trans: np.ndarray, bounds: np.ndarray) -> np.ndar
     return tags
 
 
+def _tagged(tags: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int]]:
+    """Spans of tagged tokens, given by row, byte range and place; outer punctuation is left off."""
+    if not len(tags):
+        return []
+    head = np.ones(len(tags), bool)
+    head[1:] = (np.diff(place) > 1) | (tags[1:] == BEGIN) | (row[1:] != row[:-1])
+    first = np.flatnonzero(head)
+    last = np.append(first[1:] - 1, len(tags) - 1)
+    return [(int(r), int(a), int(b)) for r, a, b in zip(row[first], start[first], end[last], strict=True) if b > a]
+
+
 def tagged_spans(texts: Texts, model: Model) -> list[tuple[int, int, int]]:
     """(row, byte start, byte end) of each tagged span, outer punctuation left off."""
+    if len(texts) == 1 and len(texts.data) > CHUNK_BYTES:
+        return _long_spans(texts, model)
     tokens = tokenise(texts, model.keywords, model.file_features)
     if not len(tokens.start):
         return []
     tags = viterbi(emissions(tokens.features, model.emit), model.trans, tokens.bounds)
     at = np.flatnonzero(tags != OUTSIDE)
-    if not len(at):
-        return []
     row = np.searchsorted(tokens.bounds, at, "right") - 1
-    head = np.ones(len(at), bool)
-    head[1:] = (np.diff(at) > 1) | (tags[at[1:]] == BEGIN) | (row[1:] != row[:-1])
-    first = at[head]
-    last = np.append(at[np.flatnonzero(head)[1:] - 1], at[-1])
-    origin = texts.offsets[row[head]]
-    start, end = tokens.core_start[first] - origin, tokens.core_end[last] - origin
-    return [(int(r), int(a), int(b)) for r, a, b in zip(row[head], start, end, strict=True) if b > a]
+    origin = texts.offsets[row]
+    return _tagged(tags[at], row, tokens.core_start[at] - origin, tokens.core_end[at] - origin, at)
+
+
+#: Words that templates look back and ahead.
+BACK, AHEAD = 2, 1
+
+
+def _long_spans(texts: Texts, model: Model) -> list[tuple[int, int, int]]:
+    """The same for one long text, piece by piece.
+
+    A piece is read with the words that its first and last tokens' templates look
+    at.  Its chain is decoded up to its last token that is outside in every best
+    path; the rest waits for the next piece.
+    """
+    of_file = None
+    if model.file_features:
+        counts = np.zeros(3, np.int64)
+        for _, piece in word_pieces(texts):
+            tokens = tokenise(piece, model.keywords, True)
+            counts += [tokens.digits, tokens.signs, len(tokens.start)]
+        of_file = int(file_value(*counts))
+    sure = slack(model.trans)
+    none = np.zeros(0, np.int64)
+    found = [(np.zeros(0, np.int8), none, none, none)]
+    held_score, held_start, held_end, seen = np.zeros((0, TAGS)), none, none, 0
+
+    def decode(upto: int) -> None:
+        nonlocal held_score, held_start, held_end, seen
+        tags = viterbi(held_score, model.trans, np.array([0, len(held_score)]))[:upto]
+        at = np.flatnonzero(tags != OUTSIDE)
+        found.append((tags[at], held_start[at], held_end[at], seen + at))
+        held_score, held_start, held_end, seen = held_score[upto:], held_start[upto:], held_end[upto:], seen + upto
+
+    spans = [(at, at + len(piece.data)) for at, piece in word_pieces(texts)]
+    for low, high in spans:
+        before, after = _reach(texts.data, low, high)
+        part = Texts(texts.data[before:after], np.array([0, after - before]), 0)
+        tokens = tokenise(part, model.keywords, model.file_features, of_file)
+        own = np.flatnonzero((tokens.start + before >= low) & (tokens.start + before < high))
+        score = emissions(tokens.features[own], model.emit)
+        held_score = np.concatenate((held_score, score))
+        held_start = np.concatenate((held_start, tokens.core_start[own] + before))
+        held_end = np.concatenate((held_end, tokens.core_end[own] + before))
+        margin = held_score[:, OUTSIDE] - np.maximum(held_score[:, BEGIN], held_score[:, INSIDE])
+        outside = np.flatnonzero(margin > sure)
+        if len(outside):
+            decode(int(outside[-1]))  # that token stays, as what stands before the rest
+    decode(len(held_score))
+    tags, start, end, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    return _tagged(tags, np.zeros(len(tags), np.int64), start, end, place)
+
+
+def _reach(data: np.ndarray, low: int, high: int) -> tuple[int, int]:
+    """The piece's bounds widened by BACK words before it and AHEAD words after it."""
+    blank = lambda i: data[i] == 0x20 or 0x09 <= data[i] <= 0x0D
+    for _ in range(BACK):
+        while low > 0 and blank(low - 1):
+            low -= 1
+        while low > 0 and not blank(low - 1):
+            low -= 1
+    for _ in range(AHEAD):
+        while high < len(data) and blank(high):
+            high += 1
+        while high < len(data) and not blank(high):
+            high += 1
+    return low, high
