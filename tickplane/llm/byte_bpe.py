@@ -12,6 +12,7 @@ import base64
 import functools
 import hashlib
 import itertools
+import operator
 import struct
 from collections.abc import Iterator
 
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tickplane.llm.textkernel import text_chunks
+from tickplane.llm.textkernel import CHUNK_BYTES, text_chunks, tidy
 
 #: Pre-tokens whose ids a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
+#: Characters from which on a text is long, and the pre-tokens and ids of it that are handled at once.
+LONG, TAKEN = CHUNK_BYTES, 40_000
 
 
 @functools.cache
@@ -92,7 +95,8 @@ class ByteBpe(dict):
         super().__init__()
         self.pieces = read_ranks(rank_file)
         self.ranks = {piece: i for i, piece in enumerate(self.pieces)}
-        self.split = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.split, self.matches = compiled.findall, compiled.finditer
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.pieces))
         self.table = {b: c for b, c in enumerate(byte_alphabet())}
 
@@ -114,19 +118,26 @@ class ByteBpe(dict):
         for (token, _), ids in zip(merged, found, strict=True):
             self[token] = raw[at : (at := at + 4 * len(ids))]
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        tokens = [self.split(x) for x in texts]
+    def _encode(self, tokens: list[list[str]]) -> list[bytes]:
         self.learn(set().union(*tokens))
         return [b"".join(map(self.__getitem__, x)) for x in tokens]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def _encode_long(self, text: str) -> bytes:
+        matches = map(operator.itemgetter(0), self.matches(text))
+        parts = iter(lambda: list(itertools.islice(matches, TAKEN)), [])
+        return b"".join(self._encode([part])[0] for part in parts)
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers.
 
-@functools.lru_cache(maxsize=2)
-def _codec(rank_file: bytes, pattern: str) -> ByteBpe:
-    return ByteBpe(rank_file, pattern)
+        Short texts go together, a long one in parts of TAKEN pre-tokens.
+        """
+        done = iter(self._encode([self.split(x) for x in texts if len(x) <= LONG]))
+        return [next(done) if len(x) <= LONG else self._encode_long(x) for x in texts]
+
+    def decode(self, ids: bytes) -> bytes:
+        numbers = np.frombuffer(ids, "<u4")
+        return b"".join(b"".join(map(self.pieces.__getitem__, numbers[at : at + TAKEN].tolist())) for at in range(0, len(numbers), TAKEN))
 
 
 #: Output columns that ``byte_bpe`` can make, with their types.
@@ -158,7 +169,7 @@ def byte_bpe(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "te
     types = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(rank_file, pattern)
+        codec = ByteBpe(rank_file, pattern)
         for batch in batches:
             made: dict[str, list] = {c: [] for c in outputs}
             for ids in (x for part in text_chunks(batch.column(len(keep))) for x in codec.encode_all([part.bytes_of(i).decode() for i in range(len(part))])):
@@ -173,6 +184,5 @@ def byte_bpe(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "te
                     else:
                         out.append(hashlib.sha256(ids if c == "ids_sha256" else decoded).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(made[c], types[c]) for c in outputs)], schema.names)
-        codec.clear()  # workers live on; what they remember does not
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickplane.llm.textkernel import mix64, text_chunks
+from tickplane.llm.textkernel import mix64, text_chunks, tidy
 
 ORDER = 4
 #: The models are fitted on at most this many distinct texts of each language,
 #: those of the least hashes, and on no more once these have so many characters
-#: on average; each text is read whole.
-FIT_TEXTS, FIT_CHARS = 400, 2000
+#: on average; each text is read whole.  Texts of more than FIT_LONGEST characters
+#: teach nothing, which bounds what the driver holds.
+FIT_TEXTS, FIT_CHARS, FIT_LONGEST = 400, 2000, 1_000_000
 #: Kneser-Ney discount.
 DISCOUNT = 0.75
 UNKNOWN = "und"
@@ -202,6 +203,20 @@ def cross_entropies(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndar
     return -total / np.maximum(np.diff(cuts), 1)[:, None], letters[bounds[1:]] - letters[bounds[:-1]]
 
 
+def long_cross_entropy(text: str, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """``cross_entropies`` of one text, CHUNK characters at a time: memory doesn't grow with it."""
+    total, n, letters = np.zeros(len(model.languages)), 0, 0
+    before = np.full(ORDER - 1, _BLANK, np.uint32)
+    for at in range(0, len(text) + 1, CHUNK):
+        part = text[at : at + CHUNK] + (" " if at + CHUNK > len(text) else "")
+        points = np.concatenate((before[-1:], _folded()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)]))
+        own = points[1:][(points[1:] != _BLANK) | (points[:-1] != _BLANK)]
+        points = np.concatenate((before, own))
+        total += log_probabilities(points, np.arange(ORDER - 1, len(points)), model).sum(0)
+        n, letters, before = n + len(own), letters + int((own != _BLANK).sum()), points[len(own) :]
+    return -total[None] / max(n, 1), np.array([letters])
+
+
 def calibrate(model: Model, texts: dict[str, list[str]]) -> Model:
     """Set each language's rejection bound from texts that are not fitted.
 
@@ -242,7 +257,7 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Mod
     quarter of the sample sets the bounds, and languages with too few of these
     share a pooled one.
     """
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
+    known = labelled.where(F.col(lang_col).isNotNull() & (F.char_length(text_col) <= FIT_LONGEST) & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
     sizes = {r[0]: (r[1], r[2]) for r in known.groupBy("lang").agg(F.count("*"), F.sum(F.char_length("t"))).collect()}
     if not sizes:
         return None
@@ -282,7 +297,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
             lang: list[str] = [UNKNOWN] * batch.num_rows
             score, rejected = np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
             for part in text_chunks(batch.column(place), CHUNK) if model else ():
-                entropy, letters = cross_entropies([part.bytes_of(i).decode() for i in range(len(part))], model)
+                texts = [part.bytes_of(i).decode() for i in range(len(part))]
+                entropy, letters = long_cross_entropy(texts[0], model) if len(texts[0]) > CHUNK else cross_entropies(texts, model)
                 best = entropy.argmin(1)
                 low = entropy[np.arange(len(best)), best]
                 tempered = np.exp((low[:, None] - entropy) * np.minimum(letters, 50)[:, None]).sum(1)
@@ -294,7 +310,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
             columns = [*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):

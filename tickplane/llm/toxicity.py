@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickplane.llm.textkernel import Texts, byte_sums, hashes_between, joined, lowered, text_chunks, word_spans
+from tickplane.llm.textkernel import CHUNK_BYTES, Texts, byte_sums, hashes_between, joined, lowered, text_chunks, tidy, word_pieces, word_spans
 
 #: The models are fitted on at most so many labelled rows of each class, those
 #: of the least hashed ids, and on no more once these have so many characters on
-#: average; each text is read whole.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1500, 3000, 8000
+#: average; each text is read whole.  Texts of more than FIT_LONGEST characters
+#: teach nothing, which bounds what the driver holds.
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS, FIT_LONGEST = 1500, 3000, 8000, 1_000_000
 #: Bytes of text that fitting looks at together.
 FIT_CHUNK = 1 << 20
 #: A score from here on is predicted as toxic.
@@ -101,15 +102,19 @@ def _cores(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a[keep], b[keep], row[keep]
 
 
-def count_votes(texts: Texts, voters: Voters) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the hits of each voter, and its number of words."""
+def _hits(texts: Texts, voters: Voters, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hits of each row and voter, the patterns' still as counts, its words, and whether the last two words address someone.
+
+    ``before`` says that of the two words before the first row.
+    """
     low = lowered(texts)
     start, end, row = _cores(low)
-    n = len(texts)
+    n, first = len(texts), voters.n_words
     votes = np.zeros((n, voters.size), np.float32)
+    votes[:, first + 3] = [texts.bytes_of(i).count(b"!!") for i in range(n)]
     words = np.bincount(row, minlength=n)
     if not len(start):
-        return votes, words
+        return votes, words, before
     sums, length = byte_sums(low), end - start
     lexical = np.zeros(len(start), bool)
     for k, (keys, number) in voters.tables.items():
@@ -120,21 +125,35 @@ def count_votes(texts: Texts, voters: Voters) -> tuple[np.ndarray, np.ndarray]:
         np.add.at(votes, (row[hit], number[at[hit]]), 1)
         if k == 0:
             lexical[hit[number[at[hit]] < voters.n_lexicon]] = True
-    hits = np.bincount(row[lexical], minlength=n)
-    address = np.isin(hashes_between(sums, start, end), _hash_of(ADDRESS))
+    votes[:, first] = np.bincount(row[lexical], minlength=n)
+    address = np.concatenate((before, np.isin(hashes_between(sums, start, end), _hash_of(ADDRESS))))
+    owner = np.concatenate(([0, 0], row))
     near = np.zeros(len(start), bool)
     for by in (1, 2):
-        near[by:] |= lexical[by:] & address[:-by] & (row[by:] == row[:-by])
-    first = voters.n_words
-    votes[:, first] = hits >= 2
-    votes[:, first + 1] = (votes[:, : voters.n_lexicon] > 0).sum(1) >= 3
+        near |= lexical & address[2 - by : -by] & (owner[2 - by : -by] == row)
     votes[:, first + 2] = np.bincount(row[near], minlength=n)
-    for i in range(n):
-        raw = texts.bytes_of(i)
-        votes[i, first + 3] = raw.count(b"!!") * 10 > words[i] > 0
     stars = np.concatenate(([0], np.cumsum(low.data == 42)))
-    masked = (stars[end] - stars[start]) > 0
-    votes[:, first + 4] = np.bincount(row[masked], minlength=n)
+    votes[:, first + 4] = np.bincount(row[stars[end] > stars[start]], minlength=n)
+    return votes, words, address[-2:]
+
+
+def count_votes(texts: Texts, voters: Voters) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the hits of each voter, and its number of words.
+
+    A long text is counted piece by piece.
+    """
+    before = np.zeros(2, bool)
+    if len(texts) == 1 and len(texts.data) > CHUNK_BYTES:
+        votes, words = np.zeros((1, voters.size), np.float32), np.zeros(1, np.int64)
+        for _, piece in word_pieces(texts):
+            more, counted, before = _hits(piece, voters, before)
+            votes, words = votes + more, words + counted
+    else:
+        votes, words, _ = _hits(texts, voters, before)
+    first = voters.n_words
+    votes[:, first] = votes[:, first] >= 2
+    votes[:, first + 1] = (votes[:, : voters.n_lexicon] > 0).sum(1) >= 3
+    votes[:, first + 3] = (votes[:, first + 3] * 10 > words) & (words > 0)
     return votes, words
 
 
@@ -311,7 +330,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     # At most some thousand ids by the line above, whatever the tables' sizes; a
     # repeated id is one row, its shortest text, before anything comes to the driver.
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("t"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    met = texts.withColumn("n", F.char_length("t")).join(F.broadcast(chosen), F.col("__id") == chosen[id_col])
+    met = texts.withColumn("n", F.char_length("t")).where(F.col("n") <= FIT_LONGEST).join(F.broadcast(chosen), F.col("__id") == chosen[id_col])
     # Lengths first: they say up to which hash whole texts fit the bound.
     upto, sizes_of = F.lit(False), met.groupBy("__label", "h").agg(F.min("n").alias("n")).collect()
     for label, most in ((0, FIT_CLEAN), (1, FIT_TOXIC)):
@@ -340,7 +359,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tu
             parts = [scores(part, model) if model else np.zeros(len(part)) for part in text_chunks(batch.column(len(keep)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(parts) if parts else np.zeros(0))], schema.names)
 
-    return docs.select(*keep, docs[text_col].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs[text_col].alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):
