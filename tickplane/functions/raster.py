@@ -148,3 +148,44 @@ def scanlines(frame: np.ndarray, offset: int, period: int = 2, phase: int = 1, g
     dark = (np.arange(len(frame)) + offset) % period == phase
     out[dark, :, :3] = np.floor(out[dark, :, :3] * gain + 0.5)
     return out
+
+
+def atlas(glyphs: np.ndarray, palette: np.ndarray, columns: int = 8, scale: int = 2) -> np.ndarray:
+    """All glyphs in rows of ``columns``, color 1 on color 0, each pixel ``scale`` times as large."""
+    cells = np.stack([np.arange(len(glyphs)), np.ones(len(glyphs)), np.zeros(len(glyphs))], 1).astype(np.uint8)
+    return render(cells, columns, glyphs, palette).repeat(scale, 0).repeat(scale, 1)
+
+
+def beside(left: np.ndarray, right: np.ndarray, gap: int = 8) -> np.ndarray:
+    """Two frames of one height side by side, an opaque black gap between them."""
+    between = np.zeros((len(left), gap, 4), np.uint8)
+    between[..., 3] = 255
+    return np.concatenate([left, between, right], 1)
+
+
+#: Pixels that the thinner side of a caption cell has at least and at most.
+LEAST_INK, MOST_INK = 4, 64
+
+
+def extract_masks(frame: np.ndarray, columns: int, rows: int, palette: np.ndarray, band: float = 0.58, contrast: float = 36) -> list[tuple[int, int, int, bytes]]:
+    """(cell, fore, back, mask) of cells in the lower band that split into two clear shades.
+
+    Pixels as bright as the cell's mean or more are one side; the side with fewer
+    pixels is the ink, the bright one among equals.  Each side has the palette
+    color nearest to its mean.
+    """
+    if frame.shape != (rows * CELL_HEIGHT, columns * CELL_WIDTH, 4):
+        raise ValueError("the frame is not of whole cells")
+    first = int(rows * band)
+    cells = frame[first * CELL_HEIGHT :].reshape(rows - first, CELL_HEIGHT, columns, CELL_WIDTH, 4).transpose(0, 2, 1, 3, 4).reshape(-1, CELL_HEIGHT * CELL_WIDTH, 4)
+    rgb = cells[..., :3].astype(float)
+    luma = rgb @ LUMA
+    bright = luma.astype(np.float32) >= (luma.mean(1))[:, None]
+    n = bright.sum(1)
+    ink = np.where((2 * n <= bright.shape[1])[:, None], bright, ~bright)
+    size = ink.sum(1)
+    fit = np.flatnonzero((np.ptp(luma, 1) >= contrast) & (size >= LEAST_INK) & (size <= MOST_INK))
+    mean = lambda side: (rgb[fit] * side[fit][..., None]).sum(1) / np.maximum(side[fit].sum(1), 1)[:, None]
+    fore, back = nearest_color(mean(ink), palette), nearest_color(mean(~ink), palette)
+    masks = np.packbits(ink[fit].reshape(-1, CELL_HEIGHT, CELL_WIDTH), axis=2)[..., 0]
+    return [(first * columns + int(c), int(f), int(b), m.tobytes()) for c, f, b, m in zip(fit, fore, back, masks, strict=True)]

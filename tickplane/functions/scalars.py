@@ -37,8 +37,12 @@ def samples_to_ticks(sample: Column, rate: Column) -> Column:
     return F.when((scaled % rate == 0) & (scaled <= SAFE_INTEGER), (scaled - scaled % rate) / rate).cast("long")
 
 
+#: Luma weights.
+LUMA = (0.2126, 0.7152, 0.0722)
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
-    return 0.2126 * r + 0.7152 * g + 0.0722 * b
+    return LUMA[0] * r + LUMA[1] * g + LUMA[2] * b
 
 
 def amplitude(db: Column) -> Column:
@@ -57,6 +61,7 @@ def oklab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
         u = v / 255.0
         return F.when(u <= 0.04045, u / 12.92).otherwise(F.pow((u + 0.055) / 1.055, F.lit(2.4)))
 
+    # The published matrices.
     x, y, z = linear(r), linear(g), linear(b)
     l = F.cbrt(0.4122214708 * x + 0.5363325363 * y + 0.0514459929 * z)  # noqa: E741
     m = F.cbrt(0.2119034982 * x + 0.6806995451 * y + 0.1073969566 * z)
@@ -73,11 +78,12 @@ def rows_for(columns: Column, aspect: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(columns / aspect / 2 + 0.5)).cast("int")
 
 
-def contained_size(width: Column, height: Column, box_width: int, box_height: int) -> tuple[Column, Column, Column, Column]:
-    """(width, height, left, top) of a picture fitted into a box and centred."""
-    scale = F.least(F.lit(box_width) / width, F.lit(box_height) / height)
-    w = F.greatest(F.lit(1), F.least(F.lit(box_width), F.floor(width * scale + 0.5))).cast("int")
-    h = F.greatest(F.lit(1), F.least(F.lit(box_height), F.floor(height * scale + 0.5))).cast("int")
+def contained_size(aspect: Column, box_width: int, box_height: int) -> tuple[Column, Column, Column, Column]:
+    """(width, height, left, top) of a picture of that aspect ratio fitted into a box and centred; parts of a pixel go."""
+    wide = aspect >= box_width / box_height
+    clamp = lambda n, most: F.greatest(F.lit(1), F.least(F.lit(most), F.floor(n)))
+    w = F.when(wide, F.lit(box_width)).otherwise(clamp(box_height * aspect, box_width)).cast("int")
+    h = F.when(wide, clamp(box_width / aspect, box_height)).otherwise(F.lit(box_height)).cast("int")
     return w, h, F.floor((F.lit(box_width) - w) / 2).cast("int"), F.floor((F.lit(box_height) - h) / 2).cast("int")
 
 
@@ -87,6 +93,14 @@ def rotated(width: Column, height: Column, degrees: Column) -> tuple[Column, Col
     return F.when(turned, height).otherwise(width), F.when(turned, width).otherwise(height)
 
 
+def display_aspect(stored: Column, degrees: Column) -> Column:
+    """The aspect ratio of the box around a picture turned by any angle."""
+    angle = F.pmod(degrees, F.lit(360))
+    cosine, sine = F.abs(F.cos(F.radians(angle))), F.abs(F.sin(F.radians(angle)))
+    tilted = (stored * cosine + sine) / (stored * sine + cosine)
+    return F.when(angle.isin(0, 180), stored).when(angle.isin(90, 270), 1 / stored).otherwise(tilted)
+
+
 def scanline(y: Column, offset: Column, period: int, phase: int) -> Column:
     """Whether a raster row is a dark scan line."""
     return F.pmod(y + offset, F.lit(period)) == phase
@@ -111,11 +125,5 @@ def opus_samples(toc: Column, frames_in_code3: Column) -> Column:
     return F.when((count > 0) & (total <= 5760), total)
 
 
-def safe_name(text: Column) -> Column:
-    """A file name's stem: runs of other characters become one hyphen."""
-    cut = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(cut == "", "untitled").otherwise(cut)
-
-
 def is_identifier(text: Column) -> Column:
     return text.rlike("^[a-z0-9][a-z0-9-]{2,63}$")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickplane.operators.components import connected_components
+from tickplane.operators.regions import components
 
 #: A codebook (palette, glyph table) is held by every task; it may have this many rows at most.
 CODEBOOK_ROWS = 4096
@@ -77,17 +80,38 @@ def component_change(df: DataFrame, key: list[str], order: list[str], parts: lis
     return df.withColumn("change", F.when(first, "all").when(changed == "", "none").otherwise(changed))
 
 
-def grid_components(cells: DataFrame, y: str, x: str, gap: int = 0) -> DataFrame:
-    """(y, x, component) of distinct cells; neighbours are at most 1 row and gap + 1 columns apart.
+#: Cells of a frame are told apart by row-major codes of rows this wide.
+WIDE = 1 << 31
+
+
+def grid_components(cells: DataFrame, key: list[str], y: str, x: str, gap: int = 0) -> DataFrame:
+    """(key, y, x, component) of each frame's distinct cells, by key; neighbours are at most 1 row and gap + 1 columns apart.
+
+    A frame's cells are bounded by its grid, so a frame is one task's work and
+    frames are as many tasks as there are.  A component's number is the least of
+    its cells' row-major codes.
+    """
+    schema = T.StructType([*(cells.schema[k] for k in key), *(T.StructField(c, T.LongType()) for c in ("y", "x", "component"))])
+    nodes = cells.select(*key, F.col(y).cast("long").alias("y"), F.col(x).cast("long").alias("x")).distinct()
+
+    def run(group: pa.Table) -> pa.Table:
+        codes = group["y"].to_numpy() * WIDE + group["x"].to_numpy()
+        found = pa.array(components(codes, WIDE, gap))
+        return pa.Table.from_arrays([*(group[k] for k in key), group["y"], group["x"], found], schema.names)
+
+    return nodes.groupBy(*key).applyInArrow(run, schema)
+
+
+def graph_components(cells: DataFrame, y: str, x: str, gap: int = 0) -> DataFrame:
+    """(y, x, component) of one grid of any size.
 
     Each cell looks its neighbours up by their places, an equi-join of bounded
-    fan-out; a component's number is the least of its cells' row-major ranks.
+    fan-out, and the links are contracted by stars.
     """
-    wide = 1 << 31
-    code = F.col(y).cast("long") * wide + F.col(x).cast("long")
+    code = F.col(y).cast("long") * WIDE + F.col(x).cast("long")
     nodes = cells.select(F.col(y).cast("long").alias("y"), F.col(x).cast("long").alias("x"), code.alias("node")).distinct()
     steps = [(dy, dx) for dy in (0, 1) for dx in range(-(gap + 1), gap + 2) if (dy, dx) > (0, 0)]
-    moves = F.array(*[F.lit(dy * wide + dx) for dy, dx in steps])
+    moves = F.array(*[F.lit(dy * WIDE + dx) for dy, dx in steps])
     ahead = nodes.select("node", F.explode(F.transform(moves, lambda m: F.col("node") + m)).alias("other"))
     links = ahead.join(nodes.select(F.col("node").alias("other")), "other").select(F.col("node").alias("a"), F.col("other").alias("b"))
     found = connected_components(links).withColumnRenamed("node", "n")
@@ -108,6 +132,11 @@ def support(planes: DataFrame, key: list[str], frame: str, cell: str, least: int
     return planes.groupBy(*key, cell).agg(F.countDistinct(frame).alias("support")).where(F.col("support") >= least)
 
 
+def union_of_cells(planes: DataFrame, key: list[str], cell: str) -> DataFrame:
+    """(key, members): the sorted distinct cells of each key, at most a grid's."""
+    return planes.groupBy(*key).agg(F.array_sort(F.collect_set(cell)).alias("members"))
+
+
 def filled(df: DataFrame, key: list[str], order: list[Column], most: int) -> DataFrame:
     """The first ``most`` rows of each key."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("__n") <= most).drop("__n")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def distribution(df: DataFrame, key: list[str], size: str) -> DataFrame:
@@ -11,15 +17,71 @@ def distribution(df: DataFrame, key: list[str], size: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n"), F.sum(size).cast("long").alias("total"), F.max(size).alias("largest"))
 
 
+def at_ranks(df: DataFrame, key: list[str], value: str, ranks: dict[str, Column], bins: int = 64) -> DataFrame:
+    """(key, names...): the values at some ranks (from 1) of each key, in columns; nulls don't count.
+
+    ``ranks`` are expressions of ``n``, a key's number of values; a rank outside
+    1 to n gives null.  Sketched quantiles cut a key's values into bins, the bins
+    are counted, and only the bin that holds a rank is counted by value.  So the
+    work on a hot key is dealt over its bins, and the result is exact whatever
+    the sketch says.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).alias("__v"))
+    edges = rows.groupBy(*key).agg(F.percentile_approx("__v", [i / bins for i in range(1, bins)], 1000).alias("__edges"), F.count("*").alias("n"))
+    number = F.size(F.filter("__edges", lambda e: e < F.col("__v")))
+    binned = rows.join(edges, key).select(*key, "__v", number.alias("__bin"))
+    counts = binned.groupBy(*key, "__bin").agg(F.count("*").alias("__count"))
+    below = F.coalesce(F.sum("__count").over(Window.partitionBy(*key).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]))
+    wanted = edges.select(*key, asked.alias("a")).select(*key, "a.name", "a.rank")
+    placed = counts.withColumn("__below", below).join(wanted, key).where((F.col("rank") > F.col("__below")) & (F.col("rank") <= F.col("__below") + F.col("__count")))
+    inside = binned.join(placed.select(*key, "__bin", "__below", "name", "rank"), [*key, "__bin"])
+    values = inside.groupBy(*key, "name", "rank", "__below", "__v").agg(F.count("*").alias("__count"))
+    until = F.col("__below") + F.sum("__count").over(Window.partitionBy(*key, "name").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = values.withColumn("__until", until).where(F.col("__until") >= F.col("rank"))
+    columns = [F.min(F.when(F.col("name") == name, F.col("__v"))).alias(name) for name in ranks]
+    return df.select(*key).distinct().join(found.groupBy(*key).agg(*columns), key, "left")
+
+
 def nearest_rank(df: DataFrame, key: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles by key; 0 where a group has no value."""
-    columns = [f"coalesce(percentile_disc({p}) within group (order by {value}), 0) as {name}" for name, p in shares.items()]
-    return df.groupBy(*key).agg(*(F.expr(c) for c in columns))
+    found = at_ranks(df, key, value, {name: F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n"))) for name, p in shares.items()})
+    return found.select(*key, *(F.coalesce(F.col(name), F.lit(0)).alias(name) for name in shares))
+
+
+def classic_median(df: DataFrame, key: list[str], value: str, name: str = "median") -> DataFrame:
+    """(key, name): the median with the middle two averaged, rounded half up."""
+    found = at_ranks(df, key, value, {"__low": F.floor((F.col("n") + 1) / 2), "__high": F.floor(F.col("n") / 2) + 1})
+    return found.select(*key, F.floor((F.col("__low") + F.col("__high")) / 2 + 0.5).cast("long").alias(name))
 
 
-def classic_median(value: str) -> Column:
-    """The median with the middle two averaged, rounded half up."""
-    return F.floor(F.percentile(value, 0.5) + 0.5).cast("long")
+def byte_counts(df: DataFrame, key: list[str], raw: str) -> DataFrame:
+    """(key, byte, n) of a BINARY column: bytes are counted by batch and key before anything moves."""
+    schema = T.StructType([*(df.schema[k] for k in key), T.StructField("byte", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple, np.ndarray] = {}
+            for *own, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts = sums.setdefault(tuple(own), np.zeros(256, np.int64))
+                counts += np.bincount(np.frombuffer(data or b"", np.uint8), minlength=256)
+            rows = [(*own, byte, int(counts[byte])) for own, counts in sums.items() for byte in np.flatnonzero(counts).tolist()]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], to_arrow_schema(schema))
+
+    found = df.select(*key, F.col(raw).alias("__raw")).mapInArrow(run, schema)
+    return found.groupBy(*key, "byte").agg(F.sum("n").alias("n"))
+
+
+def ordered_digest(df: DataFrame, key: list[str], order: str, digest: Column, lot: int = 1024) -> DataFrame:
+    """(key, digest): a hash of rows' hashes in order, in two levels.
+
+    Hashes are joined and hashed by ranges of ``lot`` of the whole number
+    ``order``, and these hashes again, so what is gathered for a key shrinks by
+    the rows of a range.
+    """
+    joined = lambda rows: F.sha2(F.array_join(F.transform(F.array_sort(rows), lambda x: x["h"]), ","), 256)
+    lots = df.groupBy(*key, F.floor(F.col(order) / lot).alias("o")).agg(joined(F.collect_list(F.struct(F.col(order).alias("o"), digest.alias("h")))).alias("h"))
+    return lots.groupBy(*key).agg(joined(F.collect_list(F.struct("o", "h"))).alias("digest"))
 
 
 def top_tokens(df: DataFrame, token: list[str], least: int, most: int) -> DataFrame:
@@ -93,4 +155,5 @@ def percent_saving(before: Column, after: Column) -> Column:
 
 
 def bits_per_second(size: Column, ticks: Column, rate: int = 60_000) -> Column:
-    return F.when(ticks > 0, F.floor(size * 8 * rate / ticks + 0.5).cast("long")).otherwise(F.lit(0).cast("long"))
+    """Rounded half up; null without a size or a duration."""
+    return F.when((size >= 0) & (ticks > 0), F.floor(size * 8 * rate / ticks + 0.5).cast("long"))

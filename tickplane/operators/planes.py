@@ -6,9 +6,10 @@ A plane's rows are (stream, frame, cell, fore, back, mask) with 16-byte masks.
 from __future__ import annotations
 
 import struct as _struct
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,6 +147,23 @@ def encode_sequences(planes: DataFrame, frames: Column | int | None, cells: int,
     return listed.unionByName(runs).groupBy("stream", "run_no").applyInPandas(write, schema)
 
 
+def decode_sequences(coded: DataFrame, run: int = 120) -> DataFrame:
+    """(stream, frame, cell, fore, back, mask) of coded runs of ``run`` frames."""
+    schema = T.StructType([coded.schema["stream"], *struct("frame long, cell long, fore long, back long, mask binary")])
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [
+                (stream, number * run + i, cell, fore, back, mask)
+                for stream, number, raw in zip(frame["stream"], frame["run_no"], frame["payload"], strict=True)
+                for i, plane in enumerate(read_sequence(bytes(raw)))
+                for cell, (fore, back, mask) in sorted(plane.items())
+            ]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return coded.select("stream", "run_no", "payload").mapInPandas(read, schema)
+
+
 def consensus_mask(mask: Column, share: float) -> Column:
     """The bits set in at least ``share`` of a group's 16-byte masks, as BINARY.
 
@@ -180,3 +198,22 @@ def stabilised(planes: DataFrame, key: list[str], frames: Column, frame_share: f
     kept = masks.where(F.col("seen") >= F.greatest(F.lit(1), F.ceil(F.col("frames") * frame_share)))
     out = kept.join(best, [*key, "cell"]).select(*key, "cell", F.col("b.fore").alias("fore"), F.col("b.back").alias("back"), "mask")
     return out.where(ink(F.col("mask")).between(least_ink, most_ink))
+
+
+def measured(planes: DataFrame, key: list[str], order: list[str], digest: str) -> DataFrame:
+    """(key, planes, distinct_planes, changed_planes) of planes given by their hashes."""
+    before = F.lag(digest).over(Window.partitionBy(*key).orderBy(*order))
+    marked = planes.withColumn("__changed", F.coalesce((before != F.col(digest)).cast("long"), F.lit(0)))
+    return marked.groupBy(*key).agg(F.count("*").alias("planes"), F.countDistinct(digest).alias("distinct_planes"), F.sum("__changed").alias("changed_planes"))
+
+
+def span_consensus(planes: DataFrame, spans: DataFrame, **rules) -> DataFrame:
+    """(stream, start, cell, fore, back, mask): one lasting plane for each span of a stream.
+
+    Planes meet the span that holds their frame; a span's frames are those of its
+    length, with or without cells.
+    """
+    of = spans.select(F.col("stream").alias("__stream"), "start", "end")
+    held = F.col("stream").eqNullSafe(F.col("__stream")) & (F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("end"))
+    met = planes.join(of, held).withColumn("__frames", F.col("end") - F.col("start"))
+    return stabilised(met, ["stream", "start"], F.col("__frames"), **rules)

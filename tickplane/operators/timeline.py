@@ -96,13 +96,27 @@ def seek(points: DataFrame, targets: DataFrame, key: list[str], time: str, carri
     return found.select("__row.*", *(F.col("__found")[c].alias(f"seek_{c}") for c in ("at", *carried)))
 
 
-def contained(points: DataFrame, spans: DataFrame, key: list[str], at: str, start: str, end: str) -> DataFrame:
-    """Points left-joined to the spans of their key with start <= at < end."""
-    p, s = points.alias("p"), spans.alias("s")
+def contained(points: DataFrame, spans: DataFrame, key: list[str], at: str, start: str, end: str, bucket: int | None = None) -> DataFrame:
+    """Points left-joined to the spans of their key with start <= at < end.
+
+    ``bucket`` is a width of time (in the columns' own unit, microseconds for
+    timestamps): a span is then met by its key and the buckets that it reaches,
+    so a hot key's points and spans meet bucket by bucket.  Choose it near the
+    usual length of a span; a span is dealt once for each bucket it reaches.
+    """
+    p, s, on = points, spans, list(key)
+    if bucket is not None:
+        number = lambda df, c: F.unix_micros(c) if df.schema[c].dataType.typeName() == "timestamp" else F.col(c).cast("long") if df.schema[c].dataType.typeName() != "timestamp_ntz" else F.unix_micros(F.col(c).cast("timestamp"))
+        last = number(spans, end) - 1
+        p = points.withColumn("__bucket", F.floor(number(points, at) / bucket))
+        reached = F.sequence(F.floor(number(spans, start) / bucket), F.floor(last / bucket))
+        s = spans.where(F.col(start) < F.col(end)).withColumn("__bucket", F.explode(reached))
+        on.append("__bucket")
+    p, s = p.alias("p"), s.alias("s")
     cond = (F.col(f"p.{at}") >= F.col(f"s.{start}")) & (F.col(f"p.{at}") < F.col(f"s.{end}"))
-    for k in key:
+    for k in on:
         cond = cond & (F.col(f"p.{k}") == F.col(f"s.{k}"))
-    return p.join(s, cond, "left")
+    return p.join(s, cond, "left").drop("__bucket")
 
 
 def clipped(spans: DataFrame, start: str, end: str, low: Column, high: Column) -> DataFrame:
@@ -126,19 +140,21 @@ def split(spans: DataFrame, key: list[str], start: str, end: str, longest: int)
     return pieces.select(*key, F.col("piece").alias("start"), F.least(F.col("piece") + longest, F.col(end)).alias("end"))
 
 
-def hysteresis_spans(df: DataFrame, key: list[str], place: str, value: str, enter: float, enter_rows: int, leave: float, leave_rows: int) -> DataFrame:
+def hysteresis_spans(df: DataFrame, key: list[str], place: str, value: str, enter: float, enter_rows: int, leave: float, leave_rows: int, size: str | None = None) -> DataFrame:
     """(key, start, end): quiet spans of a level with hysteresis.
 
     A span starts where at least ``enter_rows`` rows in a row are at or below
     ``enter``, and ends where at least ``leave_rows`` in a row are at or above
     ``leave``; places count from 0 and ``end`` is exclusive.  A span that does not
-    end reaches to the stream's end.  Null levels break runs.
+    end reaches to the stream's end.  Null levels break runs.  With ``size``, a
+    row counts as so many.
     """
     w = Window.partitionBy(*key).orderBy(place)
     side = F.when(F.col(value) <= enter, 1).when(F.col(value) >= leave, 2).otherwise(0)
-    marked = df.select(*key, place, side.alias("side")).withColumn("fresh", (F.col("side") != F.coalesce(F.lag("side").over(w), F.lit(-1))).cast("long"))
+    weight = F.lit(1) if size is None else F.col(size)
+    marked = df.select(*key, place, side.alias("side"), weight.alias("__size")).withColumn("fresh", (F.col("side") != F.coalesce(F.lag("side").over(w), F.lit(-1))).cast("long"))
     runs = marked.withColumn("run", F.sum("fresh").over(w.rowsBetween(*RUNNING)))
-    runs = runs.groupBy(*key, "run", "side").agg(F.min(place).alias("start"), F.count("*").alias("n"))
+    runs = runs.groupBy(*key, "run", "side").agg(F.min(place).alias("start"), F.sum("__size").alias("n"))
     good = runs.where(((F.col("side") == 1) & (F.col("n") >= enter_rows)) | ((F.col("side") == 2) & (F.col("n") >= leave_rows)))
     by_start = Window.partitionBy(*key).orderBy("start")
     turns = good.where(~F.col("side").eqNullSafe(F.lit(None))).withColumn("before", F.lag("side").over(by_start)).where(F.coalesce(F.col("before"), F.lit(2)) != F.col("side"))

@@ -108,12 +108,14 @@ k as (select a as node, min(b) as component from r group by a)"""
 
 
 def _grid(spark, sf_dir):
-    return load(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("y"), F.floor(F.col("c_acctbal") / 100).cast("long").alias("x")).count().where("count >= 2")
+    """One frame of cells."""
+    cells = load(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("y"), F.floor(F.col("c_acctbal") / 100).cast("long").alias("x")).count()
+    return cells.where("count >= 2").withColumn("frame", F.lit(0))
 
 
 @query(_GRID + " select y, x, component from n join k using (node)")
 def box_components(spark, sf_dir):
-    return ce.grid_components(_grid(spark, sf_dir), "y", "x")
+    return ce.grid_components(_grid(spark, sf_dir), ["frame"], "y", "x").drop("frame")
 
 
 @query(
@@ -124,7 +126,20 @@ select component, min(y) as top, max(y) as bottom, min(x) as "left", max(x) as "
 from n join k using (node) group by component"""
 )
 def component_boxes(spark, sf_dir):
-    return ce.boxes(ce.grid_components(_grid(spark, sf_dir), "y", "x"), ["component"], "y", "x")
+    return ce.boxes(ce.grid_components(_grid(spark, sf_dir), ["frame"], "y", "x"), ["component"], "y", "x")
+
+
+@query("""
+with recursive g as (select distinct user_id, event_id // 2500 as frame, cast(floor(value / 10) as bigint) as y, event_id % 40 as x from events),
+n as (select user_id, frame, y, x, y * 2147483648 + x as node from g),
+l as (select a.user_id, a.frame, a.node as a, b.node as b from n a join n b on a.user_id = b.user_id and a.frame = b.frame and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 3),
+r as (select * from l union select r.user_id, r.frame, r.a, l.b from r join l on l.user_id = r.user_id and l.frame = r.frame and l.a = r.b),
+k as (select user_id, frame, a as node, min(b) as component from r group by all)
+select user_id, frame, y, x, component from n join k using (user_id, frame, node)""")
+def frame_components(spark, sf_dir):
+    """Components of every stream's every frame, cells up to two columns apart joined."""
+    cells = load(spark, sf_dir, "events").select("user_id", F.expr("event_id div 2500").alias("frame"), F.floor(F.col("value") / 10).cast("long").alias("y"), F.pmod("event_id", F.lit(40)).alias("x"))
+    return ce.grid_components(cells, ["user_id", "frame"], "y", "x", 2)
 
 
 @query("""
@@ -136,9 +151,13 @@ def set_similarity(spark, sf_dir):
     return met.select("conv_id", "turn", F.round(ce.jaccard(F.col("w"), F.col("b")), 6).alias("similarity"))
 
 
-@query("select o_custkey as c, count(distinct l_suppkey) as cells from orders join lineitem on l_orderkey = o_orderkey group by o_custkey")
+@query(_PLANES + """
+select c, cast(floor(f / 4) as bigint) as span, count(distinct cell) as cells, array_to_string(list_sort(list_distinct(list(cell))), ' ') as members from p group by all""")
 def union_of_cells(spark, sf_dir):
-    return _planes(spark, sf_dir).groupBy("c").agg(F.countDistinct("cell").alias("cells"))
+    """The union of the cells of each four frames."""
+    return ce.union_of_cells(_planes(spark, sf_dir).withColumn("span", F.floor(F.col("f") / 4).cast("long")), ["c", "span"], "cell").select(
+        "c", "span", F.size("members").cast("long").alias("cells"), F.array_join(F.col("members").cast("array<string>"), " ").alias("members")
+    )
 
 
 @query("""

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickplane.functions.scalars import CADENCES, blind_code
 from tickplane.operators import measures as ms
+from tickplane.operators import planes, reports
 from tickplane.plans.registry import query
 from tickplane.tables import load
 
@@ -24,7 +26,7 @@ def rank_percentiles(spark, sf_dir):
 
 @query("select event_type, cast(floor(quantile_cont(value, 0.5) + 0.5) as bigint) as median from events group by event_type")
 def classic_median(spark, sf_dir):
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(ms.classic_median("value").alias("median"))
+    return ms.classic_median(load(spark, sf_dir, "events"), ["event_type"], "value")
 
 
 @query("""
@@ -54,14 +56,12 @@ def modal_token(spark, sf_dir):
 
 
 @query("""
-with c as (
-    select lang, ch, count(*) as n from (select lang, unnest(string_split(text, '')) as ch from documents) where ch <> '' group by all),
+with c as (select lang, byte, count(*) as n from (select lang, unnest(regexp_extract_all(hex(encode(text)), '..')) as byte from documents) group by all),
 t as (select lang, sum(n) + 0.5 * 256 as total from c group by lang)
 select lang, cast(sum(n) as bigint) as symbols, round(sum(n * -log2((n + 0.5) / total)), 4) as bits from c join t using (lang) group by lang""")
 def symbol_entropy(spark, sf_dir):
-    chars = load(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
-    counts = chars.groupBy("lang", "ch").agg(F.count("*").alias("n"))
-    return ms.smoothed_cost(counts, ["lang"], "ch", "n", 0.5, 256).withColumn("bits", F.round("bits", 4))
+    docs = load(spark, sf_dir, "documents").select("lang", F.col("text").cast("binary").alias("raw"))
+    return ms.smoothed_cost(ms.byte_counts(docs, ["lang"], "raw"), ["lang"], "byte", "n", 0.5, 256).withColumn("bits", F.round("bits", 4))
 
 
 @query("""
@@ -151,7 +151,7 @@ def finding_deltas(spark, sf_dir):
 
 @query("""
 with q as (select user_id, sum(length(props)) as size, 60 * date_diff('millisecond', min(ts), max(ts)) as ticks from events group by user_id)
-select user_id, case when ticks > 0 then cast(floor(size * 8 * 60000 / ticks + 0.5) as bigint) else 0 end as rate from q""")
+select user_id, case when ticks > 0 then cast(floor(size * 8 * 60000 / ticks + 0.5) as bigint) end as rate from q""")
 def bit_rates(spark, sf_dir):
     ms_of = lambda c: F.unix_millis(c.cast("timestamp"))
     events = load(spark, sf_dir, "events")
@@ -160,14 +160,19 @@ def bit_rates(spark, sf_dir):
 
 
 @query("""
-with s as (select source, n_chars from documents where doc_id % 7 = 0)
-select source, min(n_chars) as low, cast(floor(quantile_cont(n_chars, 0.5) + 0.5) as bigint) as middle, max(n_chars) as high,
-    cast(floor(0.9::double * min(n_chars)) as bigint) as estimate_low, cast(ceil(1.1::double * max(n_chars)) as bigint) as estimate_high from s group by source""")
+with p as (select source, n_chars * 8 as rate, row_number() over (partition by source order by doc_id) - 1 as place, count(*) over (partition by source) as n from documents),
+o as (select distinct source, cast(floor((n - 1) * i / 4.0) as bigint) as place from (select distinct source, n from p), range(5) t(i)),
+s as (select p.*, n as seconds from p join o using (source, place) where rate > 0),
+m as (select source, count(*) as samples, min(rate) as low_rate, cast(floor(quantile_cont(rate, 0.5) + 0.5) as bigint) as middle_rate, max(rate) as high_rate, max(seconds) as t from s group by source),
+e as (select *, cast(floor((middle_rate + 96000) * t / 8.0 + 0.5) as bigint) + 1024 as estimated, cast(floor(low_rate * t / 8.0 + 0.5) as bigint) + 1024 as l,
+    cast(floor(cast(floor(high_rate * 1.25 + 96000 * 1.5 + 0.5) as bigint) * t / 8.0 + 0.5) as bigint) + 1024 as u from m)
+select source, samples, low_rate, middle_rate, high_rate, estimated, least(estimated, l) as lower, greatest(estimated, u) as upper from e""")
 def size_estimate(spark, sf_dir):
-    return load(spark, sf_dir, "documents").where("doc_id % 7 = 0").groupBy("source").agg(
-        F.min("n_chars").alias("low"), ms.classic_median("n_chars").alias("middle"), F.max("n_chars").alias("high"),
-        F.floor(F.lit(0.9).cast("double") * F.min("n_chars")).cast("long").alias("estimate_low"), F.ceil(F.lit(1.1).cast("double") * F.max("n_chars")).cast("long").alias("estimate_high"),
-    )
+    """A document is a second of its source; five evenly spaced ones tell its rate, sound has 96,000 bits a second."""
+    w = Window.partitionBy("source")
+    placed = load(spark, sf_dir, "documents").select("source", (F.col("n_chars") * 8).alias("rate"), (F.row_number().over(w.orderBy("doc_id")) - 1).cast("long").alias("place"), F.count("*").over(w).alias("n"))
+    sampled = placed.where(F.array_contains(reports.sample_offsets(F.col("n"), 1, 5), F.col("place")))
+    return reports.estimated_size(sampled, ["source"], "rate", F.col("n"), F.lit(96000))
 
 
 @query("select lang, count(distinct source) as sources, count(distinct sha256(text)) as texts, cast(sum(n_chars) as bigint) as total from documents group by lang")
@@ -177,9 +182,93 @@ def structural_classes(spark, sf_dir):
     )
 
 
-@query("select source, sha256(string_agg(sha256(text), ',' order by doc_id)) as digest from documents group by source")
+@query("""
+with l as (select source, doc_id // 1024 as lot, sha256(string_agg(sha256(text), ',' order by doc_id)) as h from documents group by all)
+select source, sha256(string_agg(h, ',' order by lot)) as digest from l group by source""")
 def ordered_stream_hash(spark, sf_dir):
-    """Hashes of rows, in order, hashed once more; only 32-byte hashes are gathered."""
-    rows = F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h"))))
-    gathered = load(spark, sf_dir, "documents").select("source", "doc_id", "text").groupBy("source").agg(rows.alias("r"))
-    return gathered.select("source", F.sha2(F.array_join(F.transform("r", lambda x: x["h"]), ","), 256).alias("digest"))
+    """Hashes of rows, in order, hashed by ranges of ids and once more."""
+    docs = load(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("h"))
+    return ms.ordered_digest(docs, ["source"], "doc_id", F.col("h"))
+
+
+@query("""
+with g as (select l_shipmode_ as name, cast(sum(bytes) as bigint) as bytes, round(avg(err), 9) as err from (
+    select l_returnflag || l_linestatus || '-' || cast(l_linenumber as varchar) as l_shipmode_, floor(l_extendedprice) as bytes, l_discount as err from lineitem) group by name)
+select name, row_number() over (order by bytes, err, name) as by_bytes, row_number() over (order by err, bytes, name) as by_error from g""")
+def configuration_rankings(spark, sf_dir):
+    name = F.concat("l_returnflag", "l_linestatus", F.lit("-"), F.col("l_linenumber").cast("string"))
+    lanes = load(spark, sf_dir, "lineitem").groupBy(name.alias("name")).agg(F.sum(F.floor("l_extendedprice")).alias("bytes"), F.round(F.avg("l_discount"), 9).alias("err"))
+    return reports.rankings(lanes, "name", "bytes", "err")
+
+
+@query("""
+with t as (select l_returnflag as name, cast(sum(l_quantity) as bigint) as bytes from lineitem group by 1 union all select 'none', null)
+select name as winner, bytes from t where bytes is not null order by bytes, name limit 1""")
+def cheapest_backend(spark, sf_dir):
+    totals = load(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("name")).agg(F.sum("l_quantity").cast("long").alias("bytes"))
+    return reports.cheapest(totals.unionByName(spark.range(1).select(F.lit("none").alias("name"), F.lit(None).cast("long").alias("bytes"))), "name", "bytes")
+
+
+@query("""
+select event_type, count(*) as files, cast(sum(event_id % 7) as bigint) as frames, round(sum(value) / count(*), 3) as median_per_file, round(max(value * 1.5), 3) as worst_p95,
+    round(sum(value), 3) as total_median, max(length(props)) as peak_heap from events group by event_type""")
+def decoder_rollup(spark, sf_dir):
+    rows = load(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 7).alias("frames"), "value", (F.col("value") * 1.5).alias("p95"), F.char_length("props").cast("long").alias("heap"))
+    return reports.decoder_rollup(rows, ["event_type"], ["frames"], "value", "p95", ["heap"])
+
+
+@query("""
+with w as (select distinct user_id * 3 as asked from events)
+select asked as c_custkey, c_nationkey, c_custkey is null as missing from w left join customer on c_custkey = asked""")
+def manifest_selection(spark, sf_dir):
+    wanted = load(spark, sf_dir, "events").select((F.col("user_id") * 3).alias("asked"))
+    return reports.selected(load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", wanted, "asked").select("c_custkey", "c_nationkey", "missing")
+
+
+@query("""
+with r as (select p_partkey, case when p_partkey % 5 > 0 then ['12', '24', '25', '60'][cast(p_partkey % 4 + 1 as int)] end as fps, case when p_partkey % 7 > 0 then p_size * 12 end as columns,
+    case when p_partkey % 3 > 0 then p_size end as palette, case when p_partkey % 11 > 0 then case when p_size > 25 then 64 else 32 end end as glyphs,
+    case when p_partkey % 13 > 0 then ['Smallest', 'balanced', 'CLEAREST', 'best'][cast(p_partkey % 4 + 1 as int)] end as profile from part),
+s as (select p_partkey, coalesce(fps, '24') as fps, coalesce(columns, 80) as columns, coalesce(palette, 32) as palette, coalesce(glyphs, 32) as glyphs, lower(coalesce(profile, 'balanced')) as profile from r)
+select *, case when fps not in ('0.10', '0.5', '1', '3', '6', '12', '15', '24', '30', '48', '60') then 'fps' when not columns between 1 and 512 then 'columns'
+    when palette not in (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256) then 'palette' when glyphs not in (32, 64) then 'glyphs'
+    when profile not in ('smallest', 'balanced', 'clearest') then 'profile' end as fault from s""")
+def job_settings(spark, sf_dir):
+    pick = lambda names: F.array(*map(F.lit, names))[F.col("p_partkey").cast("int") % 4]
+    given = lambda n, c: F.when(F.col("p_partkey") % n > 0, c)
+    rows = load(spark, sf_dir, "part").select(
+        "p_partkey", given(5, pick(("12", "24", "25", "60"))).alias("fps"), given(7, F.col("p_size") * 12).alias("columns"), given(3, F.col("p_size")).alias("palette"),
+        given(11, F.when(F.col("p_size") > 25, 64).otherwise(32)).alias("glyphs"), given(13, pick(("Smallest", "balanced", "CLEAREST", "best"))).alias("profile"),
+    )
+    return reports.settled(rows, [c[1] for c in CADENCES])
+
+
+@query("""
+with n as (select page_id, regexp_extract(url, '^https?://([^/]*)', 1) || '/' || regexp_extract(url, '([^/?#]*)[^/]*$', 1) as p from pages),
+s as (select page_id, p, regexp_extract(p, '^(.*/)', 1) as folder, regexp_extract(p, '([^/]*)$', 1) as name from n),
+x as (select page_id, folder || regexp_replace(name, '(.)\\.[^.]*$', '\\1') || case when lower(regexp_extract(name, '.(\\.[^.]*)$', 1)) = '.html' then '.encoded' else '' end || '.html' as wanted from s)
+select page_id, wanted, case when row_number() over (partition by wanted order by page_id) = 1 then wanted
+    else regexp_replace(wanted, '\\.html$', '.' || cast(row_number() over (partition by wanted order by page_id) as varchar) || '.html') end as output from x""")
+def queue_outputs(spark, sf_dir):
+    """Output names of a queue's inputs, numbered where a name is taken."""
+    path = F.concat(F.regexp_extract("url", "^https?://([^/]*)", 1), F.lit("/"), F.regexp_extract("url", "([^/?#]*)[^/]*$", 1))
+    wanted = load(spark, sf_dir, "pages").select("page_id", reports.suggested_name(path, ".html").alias("wanted"))
+    return reports.distinct_names(wanted, ["page_id"], "wanted")
+
+
+@query("""
+select s_suppkey, upper(substr(sha256('review' || chr(0) || s_name), 1, 8)) as code, s_nationkey, '' as recognizability_1_to_5, '' as color_or_grayscale_1_to_5, '' as temporal_stability_1_to_5,
+    '' as subtitle_transcription, '' as notes from supplier""")
+def review_worksheet(spark, sf_dir):
+    sheet, key = reports.worksheet(load(spark, sf_dir, "supplier"), ["s_nationkey"], blind_code(F.concat(F.lit("review\0"), "s_name")))
+    return key.select("s_suppkey", "code").join(sheet, "code")
+
+
+@query("""
+with p as (select user_id, cast(floor(value / 50) as bigint) as plane, row_number() over (partition by user_id order by ts, event_id) as n from events),
+x as (select *, lag(plane) over (partition by user_id order by n) as b from p)
+select user_id, count(*) as planes, count(distinct plane) as distinct_planes, cast(sum((b is not null and plane <> b)::int) as bigint) as changed_planes from x group by user_id""")
+def changed_planes(spark, sf_dir):
+    """Planes that differ from the one before, by their hashes."""
+    rows = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.sha2(F.floor(F.col("value") / 50).cast("string"), 256).alias("digest"))
+    return planes.measured(rows, ["user_id"], ["ts", "event_id"], "digest")

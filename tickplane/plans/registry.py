@@ -24,4 +24,4 @@ def query(sql: str | None) -> Callable[[Query], Query]:
     return register
 
 
-from tickplane.plans import cell_queries, codec_queries, measure_queries, media_queries, scalar_queries, timeline_queries  # noqa: E402, F401
+from tickplane.plans import cell_queries, codec_queries, corpus_queries, measure_queries, media_queries, scalar_queries, timeline_queries  # noqa: E402, F401

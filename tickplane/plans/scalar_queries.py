@@ -61,20 +61,27 @@ def geometry(spark, sf_dir):
 
 
 @query("""
-with s as (select p_partkey, p_size as w, 30 as h, least(80.0::double / p_size, 50.0::double / 30) as k from part),
-f as (select p_partkey, greatest(1, least(80, cast(floor(w * k + 0.5) as int))) as width, greatest(1, least(50, cast(floor(h * k + 0.5) as int))) as height from s)
+with s as (select p_partkey, p_size / 30.0::double as a from part),
+f as (select p_partkey, case when a >= 80.0::double / 50 then 80 else greatest(1, least(80, cast(floor(50 * a) as int))) end as width,
+    case when a >= 80.0::double / 50 then greatest(1, least(50, cast(floor(80 / a) as int))) else 50 end as height from s)
 select *, cast(floor((80 - width) / 2) as int) as "left", cast(floor((50 - height) / 2) as int) as top from f""")
 def contain_and_pad(spark, sf_dir):
-    w, h, left, top = sc.contained_size(F.col("p_size"), F.lit(30), 80, 50)
+    w, h, left, top = sc.contained_size(F.col("p_size") / F.lit(30.0).cast("double"), 80, 50)
     return load(spark, sf_dir, "part").select("p_partkey", w.alias("width"), h.alias("height"), left.alias("left"), top.alias("top"))
 
 
 @query("""
-select s_suppkey, s_name, regexp_matches(lower(regexp_replace(s_name, '[^A-Za-z0-9]+', '-', 'g')), '^[a-z0-9][a-z0-9-]{2,63}$') as legal,
-    regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as stem from supplier""")
+with a as (select p_partkey, p_size / 10.0::double as stored, (p_partkey * 15) % 360 as angle from part)
+select p_partkey, round(case when angle in (0, 180) then stored when angle in (90, 270) then 1 / stored
+    else (stored * abs(cos(radians(angle))) + abs(sin(radians(angle)))) / (stored * abs(sin(radians(angle))) + abs(cos(radians(angle)))) end, 9) as aspect from a""")
+def display_aspects(spark, sf_dir):
+    aspect = sc.display_aspect(F.col("p_size") / F.lit(10.0).cast("double"), F.col("p_partkey") * 15)
+    return load(spark, sf_dir, "part").select("p_partkey", F.round(aspect, 9).alias("aspect"))
+
+
+@query("select s_suppkey, regexp_matches(lower(regexp_replace(s_name, '[^A-Za-z0-9]+', '-', 'g')), '^[a-z0-9][a-z0-9-]{2,63}$') as legal from supplier")
 def output_names(spark, sf_dir):
-    stem = sc.safe_name(F.col("s_name"))
-    return load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", sc.is_identifier(F.lower(F.regexp_replace("s_name", "[^A-Za-z0-9]+", "-"))).alias("legal"), stem.alias("stem"))
+    return load(spark, sf_dir, "supplier").select("s_suppkey", sc.is_identifier(F.lower(F.regexp_replace("s_name", "[^A-Za-z0-9]+", "-"))).alias("legal"))
 
 
 @query("""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickplane.operators import reports
 from tickplane.operators import sequential as sq
 from tickplane.operators import timeline as tl
 from tickplane.plans.registry import query
@@ -100,7 +101,7 @@ from lineitem left join orders on o_orderkey = l_orderkey and l_shipdate >= o_or
 def interval_contains(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate").withColumn("k", F.col("l_orderkey"))
     spans = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderkey", F.col("o_orderdate").alias("start"), (F.col("o_orderdate") + F.expr("interval 30 days")).alias("end"))
-    met = tl.contained(lines, spans, ["k"], "l_shipdate", "start", "end")
+    met = tl.contained(lines, spans, ["k"], "l_shipdate", "start", "end", 30 * 86_400 * 1_000_000)
     return met.select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("long").alias("line"), F.col("o_orderkey").isNotNull().alias("inside"))
 
 
@@ -241,6 +242,17 @@ def running_offset(spark, sf_dir):
     return tl.running_offset(docs, ["source"], ["doc_id"], F.col("n_chars") + 32, 128).select("doc_id", "source", F.col("offset").cast("long").alias("offset"))
 
 
+@query("""
+with t as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as n, cast(floor(value * 1000000) as bigint) as ns from events),
+r as (select *, sum(ns::hugeint) over (partition by user_id order by n) as passed from t)
+select user_id, event_id, cast(least(passed * 90000 // 1000000000, 120) as bigint) as position, cast((passed * 90000) % 1000000000 as bigint) as remainder from r""")
+def playback_clock(spark, sf_dir):
+    """Ticks of clocks at 1.5 times the speed, after each step of wall time."""
+    steps = _events(spark, sf_dir).select("user_id", "event_id", "ts", F.floor(F.col("value") * 1000000).cast("long").alias("ns"))
+    found = reports.playback_clock(steps, KEY, ORDER, "ns", F.lit(120), 3, 2)
+    return found.select("user_id", "event_id", "position", F.floor(F.col("remainder") / 2).cast("long").alias("remainder"))
+
+
 @query("""
 select user_id, ts, event_id, 'silence' as kind from events where value <= 40
 union all select user_id, ts, event_id, 'run' as kind from events where value > 40""")
