@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        if not _LOCAL:
+            warnings.warn("spark.checkpoint.dir is not set: tables are staged in a temporary folder of this machine", stacklevel=2)
         return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="tickplane-"))
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
 
