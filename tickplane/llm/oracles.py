@@ -27,7 +27,8 @@ h as (
         unnest([count(*) filter (n_words < 10), count(*) filter (100 * n_repeat_words > 20 * n_words),
             count(*) filter (10 * n_symbols > word_chars), count(*) filter (10 * n_dup_lines > 3 * n_lines)]) as f
     from x where source is not null group by source),
-s as (select rule, sum(f) / sum(n) as m, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) * (sum(f) / sum(n)) as v from h group by rule),
+p as (select rule, sum(f) / sum(n) as m, sum(f * f / n) / sum(n) as s, sum(n) as docs, count(*) as hosts from h group by rule),
+s as (select rule, m, s - m * m - (hosts - 1) * m * (1 - m) / docs as v from p),
 k as (select rule, m, case when v > 1e-12 then least(greatest(m * (1 - m) / v - 1, 1), 1000) else 1000 end as k from s),
 b as (select source, bool_or((f + k * m) / (n + k) > 0.5) as bad from h join k using (rule) group by source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

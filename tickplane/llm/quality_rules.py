@@ -86,15 +86,17 @@ def failures() -> dict[str, Column]:
 def host_rates(counts: DataFrame, host: str) -> DataFrame:
     """(host, n, failed_<rule>, rate_<rule>, host_failed): shrunk failure rates.
 
-    The prior's mean is the pooled rate m and its weight m(1 - m)/v - 1, where v
-    is the variance of the hosts' rates weighted by documents, inside the bounds
-    above.  Rows without a host are left out.
+    The prior's mean is the pooled rate m and its weight m(1 - m)/v - 1, inside
+    the bounds above.  v is the variance of the hosts' rates, weighted by
+    documents, less what drawing the documents adds to it: each of the H hosts
+    but for the pooled mean's one adds m(1 - m) in N documents.  Rows without a
+    host are left out.
     """
     sums = counts.where(F.col(host).isNotNull()).groupBy(host).agg(
         F.count("*").alias("n"), *(F.sum(rule.cast("long")).alias(f"failed_{name}") for name, rule in failures().items())
     )
     sums = stage(sums, "hosts")
-    totals = [F.sum("n").alias("n")]
+    totals = [F.sum("n").alias("n"), F.count("*").alias("hosts")]
     for r in RULES:
         failed = F.col(f"failed_{r}")
         totals += [F.sum(failed).alias(f"f_{r}"), F.sum(failed * failed / F.col("n")).alias(f"s_{r}")]
@@ -103,7 +105,7 @@ def host_rates(counts: DataFrame, host: str) -> DataFrame:
     for r in RULES:
         n = float(whole["n"] or 0)
         mean = float(whole[f"f_{r}"] or 0) / n if n else 0.0
-        spread = float(whole[f"s_{r}"] or 0) / n - mean * mean if n else 0.0
+        spread = float(whole[f"s_{r}"] or 0) / n - mean * mean - (whole["hosts"] - 1) * mean * (1 - mean) / n if n else 0.0
         weight = min(max(mean * (1 - mean) / spread - 1, LEAST_WEIGHT), MOST_WEIGHT) if spread > 1e-12 else MOST_WEIGHT
         out = out.withColumn(f"rate_{r}", (F.col(f"failed_{r}") + weight * mean) / (F.col("n") + weight))
     bad = F.lit(False)
