@@ -378,3 +378,15 @@ def test_long_dialogues_are_placed_across_blocks(spark):
         assert r["start"] == at
         at += len(r["segment"])
     assert len(rows) == n and chat_format.assemble(chat_format.rotate(df), max_turns=100).count() == 0
+
+
+def test_rows_of_one_turn_or_none_are_placed(spark):
+    """Very many rows without a turn number, and equal rows, in one dialogue."""
+    rows = [(1, None, "ann", f"{i % 97:03d} x{i % 7}") for i in range(600)] + [(1, 4, "bob", "same")] * 50 + [(1, 4, None, "who")] * 3
+    rotated = chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = sorted(rotated.where("perspective = 'bob'").collect(), key=lambda r: r["start"])
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3]))
+    at = 0
+    for r, (_, turn, speaker, text) in zip(got, order, strict=True):
+        assert (r["start"], r["turn"], r["speaker"]) == (at, turn, speaker) and text in r["segment"]
+        at += len(r["segment"])

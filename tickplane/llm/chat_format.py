@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Speakers that set the scene: rendered for everyone, nobody's perspective.
 CONTEXT = ("system",)
-#: Turn numbers in a block of running sums.
-BLOCK = 1024
+#: Turn numbers in a block of running sums, and first characters of a text that tell its lots apart.
+BLOCK, PREFIX = 1024, 3
 END = "<|end|>\n"
 
 
@@ -29,18 +29,21 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
     Segments of one (conv, perspective) joined in the order of ``start`` are the
     rendering; offsets count code points.  ``mask_start`` and ``mask_end`` bound
     what the assistant says, its end marker included; both are null elsewhere.
-    Turns are ordered by turn (null first), speaker and text.  A null text is an
+    Turns are ordered by turn (null first), speaker (null first) and text.  A null text is an
     empty one; a null speaker is nobody's perspective and an unnamed user; rows
     without a conversation form one of their own; repeated rows are repeated
     turns.  A dialogue with no participant has no perspective and gives no rows,
     as does an empty table.
 
-    Places are running sums within blocks of turn numbers plus the blocks' own
-    running sums, so that a very long dialogue is many tasks' work.
+    Places are running sums in three levels: blocks of turn numbers, lots of
+    equal turn, speaker and first characters of the text, and rows in a lot; so
+    a very long dialogue is many tasks' work, and so is one with very many rows
+    of one turn or of none.  Equal rows are one row with a number until the end.
     """
     source = turns.select(
         turns[conv].alias("conv"), turns[turn].alias("turn"), turns[speaker].alias("speaker"), _escaped(turns[text]).alias("body")
     )
+    source = source.groupBy("conv", "turn", "speaker", "body").agg(F.count("*").alias("copies"))
     people = source.where(F.col("speaker").isNotNull() & ~F.col("speaker").isin(*CONTEXT)).select(F.col("conv").alias("c"), F.col("speaker").alias("perspective")).distinct()
     rows = source.join(people, source["conv"].eqNullSafe(people["c"])).drop("c")
     own = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
@@ -54,14 +57,21 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
     )
     made = rows.withColumn("role", role).withColumn("head", head).withColumn("segment", F.concat("head", "body", F.lit(END)))
     made = made.withColumn("size", F.char_length("segment").cast("long")).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
-    key = ["conv", "perspective"]
-    totals = made.groupBy(*key, "block").agg(F.sum("size").alias("total"))
-    before = F.coalesce(F.sum("total").over(Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = totals.select(F.col("conv").alias("c"), F.col("perspective").alias("p"), F.col("block").alias("b"), before.alias("origin"))
-    within = Window.partitionBy(*key, "block").orderBy(F.col("turn").asc_nulls_first(), F.col("speaker").asc_nulls_first(), "body")
-    placed = made.withColumn("within", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    met = placed.join(blocks, placed["conv"].eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & (F.col("block") == F.col("b")))
-    start = F.col("origin") + F.col("within")
+    made = made.withColumn("lot", F.struct("turn", "speaker", F.substring("body", 1, PREFIX).alias("prefix")))
+    key, total = ["conv", "perspective"], F.sum(F.col("size") * F.col("copies")).alias("total")
+    until = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lots = made.groupBy(*key, "block", "lot").agg(total)
+    blocks = lots.groupBy(*key, "block").agg(F.sum("total").alias("total"))
+    blocks = blocks.select(F.col("conv").alias("c"), F.col("perspective").alias("p"), F.col("block").alias("b"), until(Window.partitionBy(*key).orderBy("block")).alias("origin"))
+    # Structs are compared field by field, nulls first.
+    lots = lots.withColumn("within", until(Window.partitionBy(*key, "block").orderBy("lot")))
+    lots = lots.join(blocks, lots["conv"].eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & (F.col("block") == F.col("b")))
+    lots = lots.select("c", "p", F.col("lot").alias("l"), (F.col("origin") + F.col("within")).alias("origin"))
+    in_lot = Window.partitionBy(*key, "lot").orderBy("body").rowsBetween(Window.unboundedPreceding, -1)
+    placed = made.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(in_lot), F.lit(0)))
+    met = placed.join(lots, placed["conv"].eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & placed["lot"].eqNullSafe(F.col("l")))
+    met = met.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    start = F.col("origin") + F.col("before") + F.col("copy") * F.col("size")
     learned = F.col("role") == "assistant"
     return met.select(
         F.col("conv").alias(conv),
