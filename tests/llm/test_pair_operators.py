@@ -267,3 +267,36 @@ def test_word_kernel_matches_plain_python():
     for h, w in zip(found.hash.tolist(), lower, strict=True):
         assert names.setdefault(h, w) == w
     assert len(set(names.values())) == len(names)
+
+
+def test_a_large_bucket_is_dealt_in_proportion(spark):
+    """A bucket of 100,000 near copies and a few others is dealt about once, not in its square."""
+    from pyspark.sql import functions as F
+
+    n, few = 100_000, 40
+    rows = spark.range(n).select(F.lit(0).alias("band"), F.lit(1).alias("key"), F.col("id"), F.when(F.col("id") < few, F.col("id")).otherwise(n).alias("component"), F.lit(3000).alias("weight"))
+    assert nd._mixed(rows).collect()[0]["hub"] == n
+    dealt = nd._dealt(rows, nd._mixed(rows))
+    sizes = dealt.groupBy("i", "j").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).agg(F.max("w"), F.sum("n")).first()
+    assert sizes[1] < 1.3 * n and sizes[0] < 3 * nd.BLOCK_BYTES
+    # Every two rows of different components meet in some group.
+    small = spark.range(300).select(F.lit(0).alias("band"), F.lit(1).alias("key"), F.col("id"), F.least(F.lit(5), F.col("id") % 7).alias("component"), F.lit(100_000).alias("weight"))
+    groups = {}
+    for r in nd._dealt(small, nd._mixed(small)).collect():
+        groups.setdefault((r["i"], r["j"]), []).append((r["part"], r["id"], r["component"]))
+    met = {tuple(sorted((x, y))) for (i, j), own in groups.items() for p, x, a in own if p == i for q, y, b in own if q == j and a != b}
+    assert met == {(x, y) for x in range(300) for y in range(x + 1, 300) if min(5, x % 7) != min(5, y % 7)}
+
+
+def test_bands_search_pairs_in_their_first_band(spark):
+    """Near copies that no star joins are found though each pair is looked at once."""
+    rng = random.Random(21)
+    base = [rng.choice(VOCABULARY) for _ in range(200)]
+    rows = []
+    for i in range(150):  # copies with edits of their own: many pairs are just above or below the threshold
+        own = list(base)
+        for at in rng.sample(range(200), rng.choice((2, 3, 4))):
+            own[at] = rng.choice(VOCABULARY)
+        rows.append((1000 - i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(df, percent=80).collect()} == components(rows, 80)
