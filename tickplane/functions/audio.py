@@ -98,11 +98,11 @@ def read_run(raw: bytes) -> Run:
     return run
 
 
-def synthetic_speech(rate: int = RATE) -> np.ndarray:
-    """Three tones and three pauses, two seconds in all.
+#: Fixed values: (seconds, frequency, amplitude) of a synthetic voice; a pause has no amplitude.
+SPEECH = ((0.25, 440, 0.35), (0.40, 0, 0), (0.40, 880, 0.25), (0.08, 0, 0), (0.32, 330, 0.30), (0.55, 0, 0))
+
 
-    Fixed values: (seconds, frequency, amplitude); a pause has no amplitude.
-    """
-    parts = ((0.25, 440, 0.35), (0.40, 0, 0), (0.40, 880, 0.25), (0.08, 0, 0), (0.32, 330, 0.30), (0.55, 0, 0))
-    waves = [np.floor(np.sin(2 * np.pi * f * np.arange(round(s * rate)) / rate) * a * 32767 + 0.5) for s, f, a in parts]
+def synthetic_speech(rate: int = RATE) -> np.ndarray:
+    """Three tones and three pauses, two seconds in all."""
+    waves = [np.floor(np.sin(2 * np.pi * f * np.arange(round(s * rate)) / rate) * a * 32767 + 0.5) for s, f, a in SPEECH]
     return np.clip(np.concatenate(waves), -32768, 32767).astype(np.int16)

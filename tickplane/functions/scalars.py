@@ -111,6 +111,31 @@ def blind_code(text: Column) -> Column:
     return F.upper(F.substring(F.sha2(text, 256), 1, 8))
 
 
+#: Offset and prime of the 64-bit FNV-1a hash, whose prime is 2^40 and this.
+FNV_OFFSET, FNV_LOW_PRIME = (0xCBF29CE4, 0x84222325), 0x1B3
+
+
+def fnv1a(raw: Column) -> Column:
+    """The 64-bit FNV-1a hash of a BINARY column, as 16 hex digits.
+
+    The hash is kept in two halves, as 64-bit products overflow.
+    """
+    word = F.lit((1 << 32) - 1)
+    text = F.hex(raw)
+    every = F.transform(F.sequence(F.lit(0), F.octet_length(raw) - 1), lambda i: F.conv(F.substring(text, 2 * i + 1, F.lit(2)), 16, 10).cast("long"))
+    values = F.when(F.octet_length(raw) > 0, every).otherwise(F.array().cast("array<bigint>"))
+
+    def step(h: Column, b: Column) -> Column:
+        low = h["low"].bitwiseXOR(b)
+        product = low * FNV_LOW_PRIME
+        high = (h["high"] * FNV_LOW_PRIME + F.shiftright(product, 32) + F.shiftleft(low, 8)).bitwiseAND(word)
+        return F.struct(high.alias("high"), product.bitwiseAND(word).alias("low"))
+
+    start = F.struct(F.lit(FNV_OFFSET[0]).cast("long").alias("high"), F.lit(FNV_OFFSET[1]).cast("long").alias("low"))
+    digits = lambda n: F.lpad(F.lower(F.hex(n)), 8, "0")
+    return F.aggregate(values, start, step, lambda h: F.concat(digits(h["high"]), digits(h["low"])))
+
+
 def opus_samples(toc: Column, frames_in_code3: Column) -> Column:
     """Samples at 48 kHz of an Opus packet, from its first byte (and second, for code 3)."""
     config, code = F.shiftright(toc, 3), toc.bitwiseAND(F.lit(3))

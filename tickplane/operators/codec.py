@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,14 +25,15 @@ def _state(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(-1, 3)
 
 
-def encode_timelines(frames: DataFrame, columns: int, depth: int, cadence_id: int, interval: int = 120, use_dictionary: bool = True) -> DataFrame:
+def encode_timelines(frames: DataFrame, columns: int, depth: int, cadence_id: int, interval: int = 120, use_dictionary: bool = True, group: Column | None = None) -> DataFrame:
     """Chunk rows of (path, place, state) frames, place counting from 0 in each path.
 
-    Each ``interval`` frames a keyframe; equal neighbours inside a group become
-    one repeat chunk.
+    Each ``interval`` frames a keyframe, or where ``group`` (scenes, say) says so;
+    equal neighbours inside a group become one repeat chunk.
     """
     ticks = CADENCES[cadence_id][4]
-    grouped = frames.select("path", F.col("place").cast("long").alias("place"), "state", F.floor(F.col("place") / interval).cast("long").alias("group_no"))
+    number = F.floor(F.col("place") / interval) if group is None else group
+    grouped = frames.select("path", F.col("place").cast("long").alias("place"), "state", number.cast("long").alias("group_no"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group, out, before = group.sort_values("place"), [], None

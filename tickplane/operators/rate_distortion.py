@@ -54,11 +54,15 @@ def scene_scores(frames: DataFrame, width: int, height: int) -> DataFrame:
     """
     from pyspark.sql import types as T
 
-    def step(before, row):
-        now = np.frombuffer(row["rgba"], np.uint8).reshape(height, width, 4)
-        return now, (None if before is None else ra.scene_score(before, now),)
-
-    return sq.fold_sorted(frames, ["stream"], ["place"], lambda: None, step, [T.StructField("score", T.DoubleType())])
+    def fold(before, pictures):
+        out = []
+        for raw in pictures:
+            now = np.frombuffer(raw, np.uint8).reshape(height, width, 4)
+            out.append(None if before is None else ra.scene_score(before, now))
+            before = now
+        return before, (out,)
+
+    return sq.fold_sorted(frames, ["stream"], ["place"], ["rgba"], lambda: None, fold, [T.StructField("score", T.DoubleType())])
 
 
 def analysed(frames: DataFrame, width: int, height: int, columns: int, rows: int, glyphs: np.ndarray, palette: np.ndarray, mode: str, most: int, least: int = 2) -> DataFrame:

@@ -161,3 +161,13 @@ def hysteresis_spans(df: DataFrame, key: list[str], place: str, value: str, ente
     ends = turns.withColumn("end", F.lead("start").over(by_start)).where("side = 1")
     length = df.groupBy(*key).agg((F.max(place) + 1).alias("length"))
     return ends.join(length, key).select(*key, "start", F.coalesce("end", "length").alias("end"))
+
+
+def sessions(df: DataFrame, key: list[str], time: str, gap: str) -> DataFrame:
+    """(key, start, end, rows) of a stream's sessions: rows less than ``gap`` apart.
+
+    ``end`` is ``gap`` after the last row.  Works on live streams as on tables;
+    a live one needs a watermark on ``time``.
+    """
+    found = df.groupBy(*key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("rows"))
+    return found.select(*key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "rows")

@@ -84,6 +84,14 @@ def output_names(spark, sf_dir):
     return load(spark, sf_dir, "supplier").select("s_suppkey", sc.is_identifier(F.lower(F.regexp_replace("s_name", "[^A-Za-z0-9]+", "-"))).alias("legal"))
 
 
+@query("""
+with b as (select s_suppkey, list_transform(regexp_extract_all(hex(encode(s_name)), '..'), lambda x: cast('0x' || x as hugeint)) as bytes from supplier)
+select s_suppkey, lower(printf('%08X%08X', cast(h // 4294967296 as bigint), cast(h % 4294967296 as bigint))) as fnv from (
+    select s_suppkey, list_reduce(list_prepend(14695981039346656037::hugeint, bytes), lambda h, x: (xor(h, x) * 1099511628211) % 18446744073709551616::hugeint) as h from b)""")
+def fnv_hashes(spark, sf_dir):
+    return load(spark, sf_dir, "supplier").select("s_suppkey", sc.fnv1a(F.col("s_name").cast("binary")).alias("fnv"))
+
+
 @query("""
 with c(id, label, numerator, denominator, ticks) as (values (0, '0.10', 1, 10, 600000), (1, '0.5', 1, 2, 120000), (2, '1', 1, 1, 60000), (3, '3', 3, 1, 20000),
     (4, '6', 6, 1, 10000), (5, '12', 12, 1, 5000), (6, '15', 15, 1, 4000), (7, '24', 24, 1, 2500), (8, '30', 30, 1, 2000), (9, '48', 48, 1, 1250), (10, '60', 60, 1, 1000))

@@ -253,6 +253,14 @@ def playback_clock(spark, sf_dir):
     return found.select("user_id", "event_id", "position", F.floor(F.col("remainder") / 2).cast("long").alias("remainder"))
 
 
+@query("""
+with e as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as before from events),
+b as (select *, sum((before is null or ts >= before + interval 6 hour)::int) over (partition by user_id order by ts rows unbounded preceding) as n from e)
+select user_id, min(ts) as start, max(ts) + interval 6 hour as "end", count(*) as rows from b group by user_id, n""")
+def event_sessions(spark, sf_dir):
+    return tl.sessions(_events(spark, sf_dir), KEY, "ts", "6 hours")
+
+
 @query("""
 select user_id, ts, event_id, 'silence' as kind from events where value <= 40
 union all select user_id, ts, event_id, 'run' as kind from events where value > 40""")
