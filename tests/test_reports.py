@@ -191,3 +191,17 @@ def test_span_planes_are_those_of_the_span(spark):
     spans = spark.createDataFrame([("s", 0, 4), ("s", 4, 8)], "stream string, start long, end long")
     got = sorted((r["start"], r["cell"], r["fore"], r["back"], bytes(r["mask"])) for r in planes.span_consensus(df, spans, frame_share=0.5).collect())
     assert got == [(0, 5, 1, 2, mask), (4, 9, 3, 4, mask)]
+
+
+def test_manifests_are_read_with_their_schema(spark, tmp_path):
+    import json
+
+    from tickplane.sources import manifest
+
+    entry = {"id": "a-1", "structuralClass": "x", "generator": "rapid-motion", "seed": 7, "grid": {"columns": 20, "rows": 9}, "paletteDepth": 16, "cadence": "24", "frames": 3, "provenance": {"license": "CC0-1.0"}}
+    (tmp_path / "good.json").write_text(json.dumps({"format": "m-1", "title": "more", "entries": [entry, {"id": "b"}]}, indent=1))
+    (tmp_path / "bad.json").write_text("no json")
+    read = manifest.read_manifests(spark, str(tmp_path))
+    assert read.where("m.entries is null").count() == 1
+    got = {r["id"]: r for r in manifest.manifest_entries(read).collect()}
+    assert (got["a-1"]["columns"], got["a-1"]["depth"], got["a-1"]["license"]) == (20, 16, "CC0-1.0") and got["b"]["seed"] is None

@@ -152,3 +152,32 @@ def byte_code(df: DataFrame, raw: str, keep: list[str]) -> DataFrame:
             yield out
 
     return df.select(*keep, F.col(raw).alias("__raw")).mapInPandas(run, schema)
+
+
+#: Fixed value: the mark of a stream of decoded states.
+STATES_MAGIC = bytes.fromhex("563634474f4c4431")
+
+
+def _low_first(n: Column, size: int) -> Column:
+    """Hex digits of a number in ``size`` bytes, lowest first."""
+    digits = F.lpad(F.hex(n.cast("long")), 2 * size, "0")
+    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in range(size - 1, -1, -1)])
+
+
+def state_records(decoded: DataFrame) -> DataFrame:
+    """(path, timestamp, record) of decoded frames: times, flags, size and state as one BINARY."""
+    flag = lambda c: F.when(F.col(c), "01").otherwise("00")
+    head = F.concat(_low_first(F.col("timestamp"), 8), _low_first(F.col("duration"), 8), flag("keyframe"), flag("repeat"), F.lit("0000"), _low_first(F.octet_length("state"), 4))
+    return decoded.where("error is null").select("path", "timestamp", F.concat(F.unhex(head), "state").alias("record"))
+
+
+def state_streams(records: DataFrame, columns: int, rows: int) -> DataFrame:
+    """(path, content): all records of a file in order of time behind a header.
+
+    A file's records are gathered, as a file is one value; for files that don't
+    fit one, write the records of ``state_records`` instead.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("timestamp", F.hex("record").alias("h"))))
+    whole = records.groupBy("path").agg(listed.alias("l"))
+    head = F.concat(F.lit(STATES_MAGIC.hex().upper()), _low_first(F.lit(columns), 2), _low_first(F.lit(rows), 2), _low_first(F.size("l"), 4))
+    return whole.select("path", F.unhex(F.concat(head, F.array_join(F.transform("l", lambda x: x["h"]), ""))).alias("content"))

@@ -141,6 +141,37 @@ def decoded_states(spark, sf_dir):
     return found.select("path", "timestamp", "duration", "keyframe", "repeat", F.sha2("state", 256).alias("digest"), "error")
 
 
+@query(_FRAMES + """
+, g as (select path, place, unnest(range(24)) as slot from f),
+v as (select g.path, g.place, slot, coalesce(last_value(token ignore nulls) over (partition by g.path, slot order by g.place rows unbounded preceding), '000000') as shown
+    from g left join f on f.path = g.path and f.place = g.place and f.cell = slot),
+d as (select path, place, string_agg(shown, '' order by slot) as state from v group by path, place),
+t as (select path, chunk, min(place) as place, count(*) as n, min(kind) as kind from c group by path, chunk),
+x as (select path, place, array_to_string(list_reverse(regexp_extract_all(printf('%016X', place * 2500), '..')), '') || array_to_string(list_reverse(regexp_extract_all(printf('%016X', n * 2500), '..')), '')
+    || case when kind = 'key' then '01' else '00' end || case when kind = 'repeat' then '01' else '00' end || '0000' || '48000000' || state as h from t join d using (path, place)),
+z as (select path, '563634474F4C4431' || '0600' || '0400' || array_to_string(list_reverse(regexp_extract_all(printf('%08X', count(*)), '..')), '') || string_agg(h, '' order by place) as h from x group by path)
+select path, cast(length(h) // 2 as bigint) as bytes, sha256(h) as digest from z""")
+def state_streams(spark, sf_dir):
+    """Streams of decoded states, as files."""
+    found = codec.decode_timelines(container.chunks(container_files(spark, sf_dir)).where("error is null"), CELLS, COLUMNS, DEPTH)
+    whole = codec.state_streams(codec.state_records(found), COLUMNS, ROWS)
+    return whole.select("path", F.octet_length("content").cast("long").alias("bytes"), F.sha2(F.hex("content"), 256).alias("digest"))
+
+
+@query("""
+with u as (select distinct cast(user_id as varchar) as path from events)
+select path, 'AURN' as type, 1::bigint as chunks from u union all select path, 'INDX', 1 from u union all select path, 'VFRM', n from (""" + _FRAMES + """
+select path, count(*) as n from k where opens and kind <> 'repeat' group by path)
+union all select path, 'RPTF', n from (""" + _FRAMES + """
+select path, count(*) as n from k where opens and kind = 'repeat' group by path)""")
+def remuxed_types(spark, sf_dir):
+    """Chunks by type of files that have got an audio run, their index made again."""
+    found = stage(container.chunks(container_files(spark, sf_dir)), "chunks")
+    first = found.where("seq = 0").select("path", F.lit(1_000_000).cast("long").alias("seq"), F.lit("AURN").alias("type"), F.lit(0).cast("long").alias("timestamp"), "duration", F.lit(b"run").alias("payload"))
+    files = container.mux(container.remux(found, first), COLUMNS, ROWS, CADENCE, DEPTH)
+    return container.chunks(files).groupBy("path", "type").agg(F.count("*").alias("chunks"))
+
+
 def faulty_files(spark, sf_dir) -> DataFrame:
     """(path, content): files of which some have a fault, by their number modulo 8.
 
