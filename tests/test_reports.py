@@ -205,3 +205,18 @@ def test_manifests_are_read_with_their_schema(spark, tmp_path):
     assert read.where("m.entries is null").count() == 1
     got = {r["id"]: r for r in manifest.manifest_entries(read).collect()}
     assert (got["a-1"]["columns"], got["a-1"]["depth"], got["a-1"]["license"]) == (20, 16, "CC0-1.0") and got["b"]["seed"] is None
+
+
+def test_cells_are_remapped_to_a_subset():
+    from tickplane.operators import rate_distortion as rd
+
+    masks = np.random.default_rng(4).integers(0, 256, (64, 16), dtype=np.uint8)
+    to = rd.subset_map(masks, 16)
+    state = np.array([[3, 1, 2], [40, 0, 1], [63, 2, 0]], np.uint8)
+    got = rd.remapped(state, to)
+    bits = ra.mask_bits(masks).reshape(64, -1)
+    for before, after in zip(state, got, strict=True):
+        far = [(int((bits[before[0]] != bits[c]).sum()), c) for c in range(16)]
+        assert after[0] == min(far)[1] and (after[1:] == before[1:]).all()
+    with pytest.raises(ValueError):
+        rd.remapped(state, to[:40])

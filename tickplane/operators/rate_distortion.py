@@ -35,6 +35,15 @@ def subset_map(masks: np.ndarray, count: int) -> np.ndarray:
     return (bits[:, None] != bits[None, :count]).sum(2).argmin(1)
 
 
+def remapped(state: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Cells with each glyph replaced by what ``to`` has for it."""
+    if len(state) and state[:, 0].max() >= len(to):
+        raise ValueError("a cell's glyph is not in the map")
+    out = state.copy()
+    out[:, 0] = to[state[:, 0]]
+    return out
+
+
 def distortion(frame: np.ndarray, drawn: np.ndarray) -> tuple[float, float | None]:
     """(normalised squared error, PSNR) against a drawing of any size, sampled at its cells' pixels.
 
@@ -84,8 +93,7 @@ def analysed(frames: DataFrame, width: int, height: int, columns: int, rows: int
             base = ra.analyse(frame, columns, rows, glyphs, palette, before, rule.stability)
             tries = []
             for count, to in maps.items():
-                state = base.copy()
-                state[:, 0] = to[state[:, 0]]
+                state = remapped(base, to)
                 size = 1 + len(gc.plain_encode(state, before, columns, depth))
                 error, psnr = distortion(frame, ra.render(state, columns, glyphs, palette))
                 tries.append((size / n + error * rule.weight, error, size, count, psnr, state))
