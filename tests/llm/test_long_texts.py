@@ -127,3 +127,17 @@ def test_hostile_megabytes_are_quick():
     list(licenses.scan(joined([shuffled.encode()]), licenses.Templates(licenses.TEMPLATES)))
     for module in (pii, secrets):
         module.make_scan()(joined([shuffled.encode()]))
+
+
+def test_repeated_rows_are_fitted_once(spark, monkeypatch):
+    """An id or text that very many rows repeat comes to the driver once, and so do rows without an id."""
+    rows = [(1, f"you idiot fool {'x' * 40}", "en")] * 3000 + [(i, f"plain words number {i} stand here", "en") for i in range(2, 40)] + [(None, "words without an id stand here", "en")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (1, 1)] + [(i, 0) for i in range(2, 40)], "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.update(toxic=(len(texts), int(labels.sum()))))
+    monkeypatch.setattr(language_id, "fit", lambda texts: seen.update(lang={k: len(v) for k, v in texts.items()}))
+    monkeypatch.setattr(language_id, "calibrate", lambda model, held: seen.update(held={k: len(v) for k, v in held.items()}))
+    toxicity.learn(docs, labels, "doc_id", "text", "toxic")
+    language_id.learn(docs, "doc_id", "text", "lang")
+    assert seen["toxic"] == (39, 1) and seen["lang"]["en"] + seen["held"]["en"] == len({t for _, t, _ in rows})

@@ -258,7 +258,8 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Mod
     share a pooled one.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & (F.char_length(text_col) <= FIT_LONGEST) & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
-    sizes = {r[0]: (r[1], r[2]) for r in known.groupBy("lang").agg(F.count("*"), F.sum(F.char_length("t"))).collect()}
+    # Distinct texts, so that copies don't thin the sample; characters with copies, which only makes it smaller.
+    sizes = {r[0]: (max(r[1], 1), r[2]) for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("t")), F.sum(F.char_length("t"))).collect()}
     if not sizes:
         return None
     # Texts are thinned by their hash first, so that no task gathers a language's rows.
