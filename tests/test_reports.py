@@ -133,11 +133,11 @@ def test_atlas_and_side_by_side():
 
 
 def test_output_names_do_not_collide(spark):
-    rows = [(0, "d/a.mp4"), (1, "d/a.mkv"), (2, "d/a.x.avi"), (3, "e/a.mp4"), (4, "d/b.v64"), (5, "d/a.2.mp4"), (6, "plain"), (7, "d/a")]
-    wanted = spark.createDataFrame(rows, "n int, path string").select("n", reports.suggested_name(__import__("pyspark.sql.functions", fromlist=["col"]).col("path"), ".v64").alias("path"))
-    taken = spark.createDataFrame([("e/a.v64",)], "path string")
+    rows = [(0, "d/a.mp4"), (1, "d/a.mkv"), (2, "d/a.x.avi"), (3, "e/a.mp4"), (4, "d/b.out"), (5, "d/a.2.mp4"), (6, "plain"), (7, "d/a")]
+    wanted = spark.createDataFrame(rows, "n int, path string").select("n", reports.suggested_name(__import__("pyspark.sql.functions", fromlist=["col"]).col("path"), ".out").alias("path"))
+    taken = spark.createDataFrame([("e/a.out",)], "path string")
     got = {r["n"]: r["output"] for r in reports.distinct_names(wanted, ["n"], "path", taken).collect()}
-    assert got == {0: "d/a.v64", 1: "d/a.2.v64", 2: "d/a.x.v64", 3: "e/a.2.v64", 4: "d/b.encoded.v64", 5: "d/a.2.2.v64", 6: "plain.v64", 7: "d/a.3.v64"}
+    assert got == {0: "d/a.out", 1: "d/a.2.out", 2: "d/a.x.out", 3: "e/a.2.out", 4: "d/b.encoded.out", 5: "d/a.2.2.out", 6: "plain.out", 7: "d/a.3.out"}
 
 
 def test_ranks_are_exact_on_ties_and_odd_groups(spark):
