@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Pixels of a cell, and samples that are taken of it.
 CELL_WIDTH, CELL_HEIGHT = 8, 16
 SAMPLES_X, SAMPLES_Y = 4, 8
-#: A cell whose luma range is below this is flat.
+#: A cell whose luma range is below this is flat; glyphs of flat cells and of textures.
 FLAT_RANGE = 7
 FLAT_GLYPH, TEXTURE_GLYPH = 7, 60
+#: Luma weights.
 LUMA = np.array([0.2126, 0.7152, 0.0722])
-#: Weights of the glyph score: shape, area, occupancy, centroid, orientation.
+#: Weights of the glyph score: shape, area, occupancy, centroid, orientation.
 WEIGHTS = (3.2, 1.4, 0.30, 0.70, 0.55)
-#: Weights of the scene score: color difference, changed pixels, luma shift.
+#: Weights of the scene score: color difference, changed pixels, luma shift.
 SCENE_WEIGHTS = (0.55, 0.30, 0.15)
 
 
@@ -69,6 +71,11 @@ def nearest_color(colors: np.ndarray, palette: np.ndarray) -> np.ndarray:
     return (gaps * gaps * LUMA).sum(2).argmin(1)
 
 
+#: How much worse a held glyph may score, plainly and among textures, each with its growth by
+#: stability; how far off a held color may be, with its growth.
+HOLD_GLYPH, HOLD_TEXTURE, HOLD_COLOR = (0.06, 0.34), (0.22, 0.36), (7, 17)
+
+
 def analyse(frame: np.ndarray, columns: int, rows: int, glyphs: np.ndarray, palette: np.ndarray, before: np.ndarray | None = None, stability: float = 0.48) -> np.ndarray:
     """Cells (n, 3) of an (h, w, 4) frame.
 
@@ -97,7 +104,7 @@ def analyse(frame: np.ndarray, columns: int, rows: int, glyphs: np.ndarray, pale
     if before is not None:
         old = before[:, 0].astype(int)
         held = both[np.arange(len(cells)), old].min(1)
-        hold = (held <= lowest + 0.06 + stable * 0.34) | ((glyph >= TEXTURE_GLYPH) & (old != glyph) & (held <= lowest + 0.22 + stable * 0.36))
+        hold = (held <= lowest + HOLD_GLYPH[0] + stable * HOLD_GLYPH[1]) | ((glyph >= TEXTURE_GLYPH) & (old != glyph) & (held <= lowest + HOLD_TEXTURE[0] + stable * HOLD_TEXTURE[1]))
         glyph = np.where(hold, old, glyph)
     glyph = np.where(flat, FLAT_GLYPH, glyph)
     fore, back = np.where(flat[:, None], whole, fore), np.where(flat[:, None], whole, back)
@@ -107,7 +114,7 @@ def analyse(frame: np.ndarray, columns: int, rows: int, glyphs: np.ndarray, pale
         if before is not None:
             old = before[:, i].astype(int)
             gap = palette[index].astype(float) - palette[old].astype(float)
-            index = np.where((gap * gap).sum(1) <= (7 + stable * 17) ** 2, old, index)
+            index = np.where((gap * gap).sum(1) <= (HOLD_COLOR[0] + stable * HOLD_COLOR[1]) ** 2, old, index)
         out.append(index)
     return np.stack(out, 1).astype(np.uint8)
 

@@ -146,6 +146,10 @@ def sample_offsets(length: Column, sample: Column | int, count: int) -> Column:
     return F.array_distinct(F.array(*[s.cast("long") for s in starts]))
 
 
+#: Empty columns of a review sheet.
+SCORES = ("recognizability_1_to_5", "color_or_grayscale_1_to_5", "temporal_stability_1_to_5", "subtitle_transcription", "notes")
+
+
 def worksheet(rows: DataFrame, public: list[str], code: Column) -> tuple[DataFrame, DataFrame]:
     """(public sheet, key) of a blind review: the sheet has codes for names, the key has both.
 
@@ -153,5 +157,4 @@ def worksheet(rows: DataFrame, public: list[str], code: Column) -> tuple[DataFra
     ``sheet.write.option("header", True).csv(path)`` and keep the key apart.
     """
     coded = rows.withColumn("code", code)
-    scores = ("recognizability_1_to_5", "color_or_grayscale_1_to_5", "temporal_stability_1_to_5", "subtitle_transcription", "notes")
-    return coded.select("code", *public, *(F.lit("").alias(c) for c in scores)), coded
+    return coded.select("code", *public, *(F.lit("").alias(c) for c in SCORES)), coded
