@@ -141,3 +141,20 @@ def test_repeated_rows_are_fitted_once(spark, monkeypatch):
     toxicity.learn(docs, labels, "doc_id", "text", "toxic")
     language_id.learn(docs, "doc_id", "text", "lang")
     assert seen["toxic"] == (39, 1) and seen["lang"]["en"] + seen["held"]["en"] == len({t for _, t, _ in rows})
+
+
+def test_slices_of_a_batch_give_the_same_rows(monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(["a b", None, "", "c é d", "e", None, "f g h i j k", " ", "l"])], ["n", "t"])
+
+    def run(batches):
+        for b in batches:
+            hashes = [words(part).hash.tolist() for part in textkernel.text_chunks(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(hashes[0])] * b.num_rows)], ["n", "words"])
+
+    for size in (1, 2, 4, 100):
+        monkeypatch.setattr(textkernel, "BATCH_ROWS", size)
+        out = list(textkernel.tidy(run)([batch, batch.slice(3, 2), batch.slice(0, 0)]))
+        assert [n for b in out for n in b.column(0).to_pylist()] == [*range(9), 3, 4]
+        assert sum(b.column(1)[0].as_py() for b in out) == 13 + 4

@@ -18,6 +18,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single text is handled alone.
 CHUNK_BYTES = 1 << 18
+#: Rows of a batch that an operator works on together.
+BATCH_ROWS = 2000
 
 _RNG = np.random.default_rng(20240607)
 _BYTE_KEYS = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,15 +62,22 @@ def release() -> None:
 
 
 def tidy(run: Callable) -> Callable:
-    """``run``, a function of Arrow batches, that leaves nothing behind in its worker.
+    """``run``, a function of Arrow batches, on slices of them, that leaves nothing behind in its worker.
 
-    Python workers outlive tasks, and one of another stage may work beside them.
+    Spark bounds what a batch holds; a slice of BATCH_ROWS bounds what is made of
+    it at once.  Python workers outlive tasks, and one of another stage may work
+    beside them.
     """
 
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                yield batch.slice(at, BATCH_ROWS)
+
     @functools.wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(slices(batches))
         finally:
             release()
 
