@@ -18,8 +18,6 @@ from tickplane.llm.pii import redact_pii
 from tickplane.operators.prefilter import without
 from tickplane.tables import load, stage
 
-#: Rows that go to Python at once: some megabytes of text, and what is made of them.
-BATCH_ROWS = 2000
 #: Two documents are near duplicates from this share of their shingles on, in percent.
 NEAR_PERCENT = 80
 
@@ -29,7 +27,6 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null, empty and letterless texts are rejected.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     columns = docs.columns
     model = language.learn(docs.where(~language.held_out("doc_id")), "doc_id", "text", "lang")
     found = language.identify(docs, model, "text", tuple(columns), ("__lang", "__score", "__rejected"))
