@@ -165,6 +165,15 @@ def test_components_by_frame_agree_with_those_of_a_graph(spark):
     assert [g[1:] for g in got if g[0] == 2] == one
 
 
+def test_components_cross_column_zero(spark):
+    cells = [(0, 7, -1), (0, 7, 0), (0, 8, 1), (0, 14, -1), (0, 15, 0), (0, 3, None), (1, -2, -9), (1, -2, -7), (1, -3, -8), (1, 4, 2)]
+    df = spark.createDataFrame(cells, "f int, y long, x long")
+    got = {(f, y, x): c for f, y, x, c in map(tuple, ce.grid_components(df, ["f"], "y", "x").collect())}
+    at = lambda y, x: y * ce.WIDE + x
+    one, two, low = at(7, -1), at(14, -1), at(-3, -8)
+    assert got == {(0, 7, -1): one, (0, 7, 0): one, (0, 8, 1): one, (0, 14, -1): two, (0, 15, 0): two, (1, -2, -9): low, (1, -2, -7): low, (1, -3, -8): low, (1, 4, 2): at(4, 2)}
+
+
 def test_corpus_face_and_grain(spark):
     entries = [("g", "monochrome-film", 7, 20, 9, 16, 3), ("f", "static-lecture", 7, 20, 9, 16, 2)]
     df = spark.createDataFrame(entries, "id string, generator string, seed long, columns int, rows int, depth int, frames int")

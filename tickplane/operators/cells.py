@@ -89,14 +89,17 @@ def grid_components(cells: DataFrame, key: list[str], y: str, x: str, gap: int =
 
     A frame's cells are bounded by its grid, so a frame is one task's work and
     frames are as many tasks as there are.  A component's number is the least of
-    its cells' row-major codes.
+    its cells' row-major codes; places may be negative, and cells without one are
+    left out.
     """
     schema = T.StructType([*(cells.schema[k] for k in key), *(T.StructField(c, T.LongType()) for c in ("y", "x", "component"))])
-    nodes = cells.select(*key, F.col(y).cast("long").alias("y"), F.col(x).cast("long").alias("x")).distinct()
+    nodes = cells.select(*key, F.col(y).cast("long").alias("y"), F.col(x).cast("long").alias("x")).where("y is not null and x is not null").distinct()
 
     def run(group: pa.Table) -> pa.Table:
-        codes = group["y"].to_numpy() * WIDE + group["x"].to_numpy()
-        found = pa.array(components(codes, WIDE, gap))
+        columns = group["x"].to_numpy()
+        left = columns.min()  # codes are of columns from 0, or a row's first cells would belong to the row before
+        codes = group["y"].to_numpy() * WIDE + (columns - left)
+        found = pa.array(components(codes, WIDE, gap) + left)
         return pa.Table.from_arrays([*(group[k] for k in key), group["y"], group["x"], found], schema.names)
 
     return nodes.groupBy(*key).applyInArrow(run, schema)
