@@ -174,6 +174,12 @@ def test_components_cross_column_zero(spark):
     assert got == {(0, 7, -1): one, (0, 7, 0): one, (0, 8, 1): one, (0, 14, -1): two, (0, 15, 0): two, (1, -2, -9): low, (1, -2, -7): low, (1, -3, -8): low, (1, 4, 2): at(4, 2)}
 
 
+def test_boxes_reach_over_column_zero(spark):
+    df = spark.createDataFrame([(0, 7, -1), (0, 7, 0), (0, 7, 1), (0, 8, 0)], "f int, y long, x long")
+    (box,) = ce.boxes(ce.grid_components(df, ["f"], "y", "x"), ["component"], "y", "x").collect()
+    assert tuple(box) == (7 * ce.WIDE - 1, 7, 8, -1, 1, 4, 2, 3, round(4 / 6, 6))
+
+
 def test_corpus_face_and_grain(spark):
     entries = [("g", "monochrome-film", 7, 20, 9, 16, 3), ("f", "static-lecture", 7, 20, 9, 16, 2)]
     df = spark.createDataFrame(entries, "id string, generator string, seed long, columns int, rows int, depth int, frames int")
