@@ -140,6 +140,12 @@ def test_output_names_do_not_collide(spark):
     assert got == {0: "d/a.out", 1: "d/a.2.out", 2: "d/a.x.out", 3: "e/a.2.out", 4: "d/b.encoded.out", 5: "d/a.2.2.out", 6: "plain.out", 7: "d/a.3.out"}
 
 
+def test_a_name_that_is_only_an_extension_is_numbered_before_it(spark):
+    wanted = spark.createDataFrame([(i, "h/.out") for i in range(3)] + [(3, "h/a.out"), (4, "h/a.out")], "n int, path string")
+    got = {r["n"]: r["output"] for r in reports.distinct_names(wanted, ["n"], "path", extension=".out").collect()}
+    assert got == {0: "h/.out", 1: "h/.2.out", 2: "h/.3.out", 3: "h/a.out", 4: "h/a.2.out"}
+
+
 def test_ranks_are_exact_on_ties_and_odd_groups(spark):
     from pyspark.sql import functions as F
 

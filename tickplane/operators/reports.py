@@ -75,11 +75,13 @@ def suggested_name(path: Column, extension: str) -> Column:
     return F.concat(folder, F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.when(again, F.lit(".encoded")).otherwise(F.lit("")), F.lit(extension))
 
 
-def distinct_names(rows: DataFrame, order: list[str], path: str, taken: DataFrame | None = None) -> DataFrame:
+def distinct_names(rows: DataFrame, order: list[str], path: str, taken: DataFrame | None = None, extension: str | None = None) -> DataFrame:
     """Adds ``output``: the path, or with ``.2``, ``.3``, ... before its extension where it is taken.
 
     Rows come in order; a folder is one task's work, as what a name becomes
-    depends on all names before it.  ``taken`` has paths that are in use.
+    depends on all names before it.  ``taken`` has paths that are in use.  Without
+    ``extension`` a name that only begins with a dot has none; with it, a name may
+    be the extension alone.
     """
     schema = T.StructType([*rows.schema.fields, T.StructField("output", T.StringType())])
     folder = lambda c: F.regexp_extract(c, "^(.*/)?[^/]*$", 1)
@@ -92,10 +94,10 @@ def distinct_names(rows: DataFrame, order: list[str], path: str, taken: DataFram
         first = group["__used"].iloc[0]
         used, out = set(first if first is not None else ()), []
         for wanted in group[path]:
-            stem, extension = posixpath.splitext(wanted)
+            stem, end = (wanted[: -len(extension)], extension) if extension and wanted.endswith(extension) else posixpath.splitext(wanted)
             name, n = wanted, 2
             while name in used:
-                name, n = f"{stem}.{n}{extension}", n + 1
+                name, n = f"{stem}.{n}{end}", n + 1
             used.add(name)
             out.append(name)
         return group.drop(columns=["__folder", "__used"]).assign(output=out)[schema.names]

@@ -253,7 +253,7 @@ def queue_outputs(spark, sf_dir):
     """Output names of a queue's inputs, numbered where a name is taken."""
     path = F.concat(F.regexp_extract("url", "^https?://([^/]*)", 1), F.lit("/"), F.regexp_extract("url", "([^/?#]*)[^/]*$", 1))
     wanted = load(spark, sf_dir, "pages").select("page_id", reports.suggested_name(path, ".html").alias("wanted"))
-    return reports.distinct_names(wanted, ["page_id"], "wanted")
+    return reports.distinct_names(wanted, ["page_id"], "wanted", extension=".html")
 
 
 @query("""
