@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,6 +85,19 @@ def component_change(df: DataFrame, key: list[str], order: list[str], parts: lis
 WIDE = 1 << 31
 
 
+def _wide_components(rows: np.ndarray, columns: np.ndarray, gap: int) -> np.ndarray:
+    """The least code of each cell's component in a frame that is wider than its codes.
+
+    Empty columns count only as far as they part two cells, so rows don't run into each other.
+    """
+    known, at = np.unique(columns, return_inverse=True)
+    places = np.minimum(np.diff(known, prepend=known[0]), gap + 2).cumsum()
+    _, member = np.unique(components(rows * WIDE + places[at], WIDE, gap), return_inverse=True)
+    least = np.full(len(rows), np.iinfo(np.int64).max)
+    np.minimum.at(least, member, rows * WIDE + columns)
+    return least[member]
+
+
 def grid_components(cells: DataFrame, key: list[str], y: str, x: str, gap: int = 0) -> DataFrame:
     """(key, y, x, component) of each frame's distinct cells, by key; neighbours are at most 1 row and gap + 1 columns apart.
 
@@ -96,11 +110,13 @@ def grid_components(cells: DataFrame, key: list[str], y: str, x: str, gap: int =
     nodes = cells.select(*key, F.col(y).cast("long").alias("y"), F.col(x).cast("long").alias("x")).where("y is not null and x is not null").distinct()
 
     def run(group: pa.Table) -> pa.Table:
-        columns = group["x"].to_numpy()
+        rows, columns = group["y"].to_numpy(), group["x"].to_numpy()
         left = columns.min()  # codes are of columns from 0, or a row's first cells would belong to the row before
-        codes = group["y"].to_numpy() * WIDE + (columns - left)
-        found = pa.array(components(codes, WIDE, gap) + left)
-        return pa.Table.from_arrays([*(group[k] for k in key), group["y"], group["x"], found], schema.names)
+        if columns.max() - left < WIDE:
+            found = components(rows * WIDE + (columns - left), WIDE, gap) + left
+        else:
+            found = _wide_components(rows, columns, gap)
+        return pa.Table.from_arrays([*(group[k] for k in key), group["y"], group["x"], pa.array(found)], schema.names)
 
     return nodes.groupBy(*key).applyInArrow(run, schema)
 
